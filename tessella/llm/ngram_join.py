@@ -3,7 +3,7 @@
 1. One pass over the texts gives each document the hash of its n-gram set, the set's size and its
    band hashes. Documents of the same set are copies: one representative each goes on.
 2. Representatives that share a band hash form a bucket. Buckets of at most `cold` members yield
-   their pairs, each once, and every pair is verified on the two full sets.
+   their pairs, each once; those whose minhash sketches agree enough are verified on the full sets.
 3. Members of larger buckets are joined into hot components. Each member's exact distance to the
    component's first member (the pivot) places it in a shell a tenth of the limit wide. The Jaccard
    distance is a metric, so shells near the pivot link without a comparison and far-apart shells
@@ -34,12 +34,14 @@ def choose_bands(threshold: float, recall: float, rows: int = 5) -> tuple[int, i
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)), rows
 
 
-def band_hashes(grams: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """documents x bands; rows of documents without n-grams are 0."""
+def band_hashes(grams: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(documents x bands, documents x sketch words of 16 minhashes, 4 bits each); rows of documents without n-grams are 0."""
     some = np.flatnonzero(np.diff(bounds))
     out = np.zeros((len(bounds) - 1, bands), dtype=np.int64)
+    sketch = np.zeros((len(bounds) - 1, -(-bands * rows // 16)), dtype=np.int64)
     if not len(some):
-        return out
+        return out, sketch
+    bits = np.zeros((len(some), sketch.shape[1]), dtype=U)
     at = bounds[:-1][some]
     make = np.random.default_rng(20240229)
     a = make.integers(1, 1 << 63, bands * rows, dtype=np.uint64) * U(2) + U(1)
@@ -47,44 +49,86 @@ def band_hashes(grams: np.ndarray, bounds: np.ndarray, bands: int, rows: int) ->
     for j in range(bands):
         acc = np.full(len(some), j + 1, dtype=U)
         for i in range(j * rows, (j + 1) * rows):
-            acc = acc * U(BASE) + np.minimum.reduceat((grams * a[i] + b[i]) >> U(32), at)
+            least = np.minimum.reduceat((grams * a[i] + b[i]) >> U(32), at)
+            acc = acc * U(BASE) + least
+            bits[:, i // 16] |= (mix(least) & U(15)) << U(4 * (i % 16))
         out[some, j] = mix(acc).view(np.int64)
-    return out
+    sketch[some] = bits.view(np.int64)
+    return out, sketch
+
+
+def agreement(x, y, words: int, hashes: int):
+    """Share of the minhashes of two sketches whose 4 bits agree."""
+    odd = F.lit(0)
+    for i in range(words):
+        z = x[i].bitwiseXOR(y[i])
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        odd = odd + F.bit_count(z)
+    return 1 - odd / hashes
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int) -> DataFrame:
-    """(id, set_hash, n_grams, bands): set_hash is null where a text has no word."""
+    """(id, set_hash, n_grams, bands, sketch): set_hash is null where a text has no word."""
 
     def run(it):
         for batch in it:
             ids, text = batch.column(0), lowered(batch.column(1))
             for lo, hi, data, offs in slices(text):
                 grams, bounds = shingles(Words(data, offs), n)
-                marks = band_hashes(grams, bounds, bands, rows)
+                marks, sketch = band_hashes(grams, bounds, bands, rows)
                 names, sizes = [], []
                 for d in range(hi - lo):
                     own = np.unique(grams[bounds[d] : bounds[d + 1]])
                     sizes.append(len(own))
                     names.append(xxhash.xxh3_128_hexdigest(own.tobytes()) if len(own) else None)
-                flat = pa.array(marks.ravel(), pa.int64())
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(names, pa.string()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands), pa.int32()), flat)], ["id", "set_hash", "n_grams", "bands"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel(), pa.int64())) for x in (marks, sketch)]
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(names, pa.string()), pa.array(sizes, pa.int32()), *lists], ["id", "set_hash", "n_grams", "bands", "sketch"])
 
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, set_hash string, n_grams int, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, set_hash string, n_grams int, bands array<long>, sketch array<long>")
+
+
+BITS = 1 << 27  # of the filter on ids: 16 MB at most, whatever is asked for
+PAGE = 1 << 15
+
 
+def id_filter(ids: DataFrame, col: str) -> dict[int, bytes]:
+    """Bits of ids modulo BITS, in pages. It lets all of ids through and, while they fill few of the bits, little else."""
+    at = F.pmod(F.col(col), F.lit(BITS))
+    pages = ids.select(F.floor(at / PAGE).cast("int").alias("page"), F.pmod(at, F.lit(PAGE)).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    return {r.page: bytes(r.bits) for r in pages.collect()}
 
-def gram_sets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(rep, grams): the sorted distinct n-gram hashes of a text, 8 bytes each."""
+
+def passes(ids: np.ndarray, pages: dict[int, bytes]) -> np.ndarray:
+    at = ids % BITS
+    out = np.zeros(len(ids), dtype=bool)
+    for page in np.unique(at // PAGE):
+        mine = np.flatnonzero(at // PAGE == page)
+        if int(page) in pages:
+            bits = np.unpackbits(np.frombuffer(pages[int(page)], dtype=np.uint8), bitorder="little")
+            out[mine] = bits[at[mine] % PAGE] == 1
+    return out
+
+
+def gram_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """(rep, grams): the sorted distinct n-gram hashes, 8 bytes each, of the texts whose ids are in wanted(id).
+
+    A filter of fixed size on the ids keeps most other texts out of the shuffle; the join then is exact.
+    """
+    pages = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, "id"))
 
     def run(it):
         for batch in it:
-            ids, text = batch.column(0), lowered(batch.column(1))
+            at = pa.array(np.flatnonzero(passes(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), pages.value)))
+            ids, text = batch.column(0).take(at), lowered(batch.column(1).take(at))
             for lo, hi, data, offs in slices(text):
                 grams, bounds = shingles(Words(data, offs), n)
                 sets = [np.unique(grams[bounds[d] : bounds[d + 1]]).tobytes() for d in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(sets, pa.binary())], ["rep", "grams"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "rep long, grams binary")
+    sets = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "rep long, grams binary")
+    return sets.join(wanted.select(F.col("id").alias("rep")), "rep", "left_semi")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -202,7 +246,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = materialize(signatures(base, "id", "text", n, bands, rows), "signatures")
     reps = materialize(
-        marked.where("set_hash is not null").groupBy("set_hash").agg(F.min(F.struct("id", "bands")).alias("first"), F.count("*").alias("n_copies")).select("set_hash", F.col("first.id").alias("rep"), F.col("first.bands").alias("bands"), "n_copies"), "reps")
+        marked.where("set_hash is not null").groupBy("set_hash").agg(F.min(F.struct("id", "bands", "sketch")).alias("first"), F.count("*").alias("n_copies")).select("set_hash", F.col("first.id").alias("rep"), F.col("first.bands").alias("bands"), F.col("first.sketch").alias("sketch"), "n_copies"), "reps")
     members = reps.select("rep", F.posexplode("bands").alias("band", "mark"))
     buckets = materialize(members.groupBy("band", "mark").agg(F.count("*").alias("size"), F.min("rep").alias("first")).where("size > 1"), "buckets")
     filled = members.join(buckets, ["band", "mark"])
@@ -213,11 +257,17 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if any_hot:
         hot = materialize(components(hot_rows.select(F.col("rep").alias("a"), F.col("first").alias("b"))).select(F.col("id").alias("rep"), F.col("label").alias("comp")), "hot")
         pairs = pairs.join(hot.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a", "left").join(hot.select(F.col("rep").alias("b"), F.col("comp").alias("cb")), "b", "left").where("ca is null or cb is null or ca <> cb").select("a", "b")
-    pairs = materialize(pairs, "pairs")
+    # A pair at the threshold agrees in about (1 + 15 num / den) / 16 of its sketch. Five standard
+    # deviations below that, full sets need not be fetched; such a pair is missed less than once in a million.
+    share = (1 + 15 * num / den) / 16
+    least = share - 5 * math.sqrt(share * (1 - share) / (bands * rows))
+    side = lambda c: reps.select(F.col("rep").alias(c), F.col("sketch").alias(f"s{c}"))
+    likely = pairs.join(side("a"), "a").join(side("b"), "b").where(agreement(F.col("sa"), F.col("sb"), -(-bands * rows // 16), bands * rows) >= least)
+    pairs = materialize(likely.select("a", "b"), "pairs")
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     if any_hot:
         wanted = wanted.unionByName(hot.select(F.col("rep").alias("id")))
-    sets = materialize(gram_sets(base.join(wanted.distinct(), "id", "left_semi"), "id", "text", n).dropDuplicates(["rep"]), "sets")
+    sets = materialize(gram_sets(base, wanted.distinct(), "id", "text", n).dropDuplicates(["rep"]), "sets")
     links = materialize(overlaps(pairs, sets).where(linked(num, den)).select("a", "b"), "links")
     edges, counts = links, links.select(F.col("a").alias("rep"), F.lit(1).cast("long").alias("n")).unionByName(links.select(F.col("b").alias("rep"), F.lit(1).cast("long").alias("n")))
     if any_hot:
@@ -225,8 +275,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         edges, counts = edges.unionByName(more), counts.unionByName(within)
     classes = components(edges)
     counts = counts.groupBy("rep").agg(F.sum("n").alias("n_links"))
-    known = reps.drop("bands").join(classes.select(F.col("id").alias("rep"), F.col("label").alias("class_id")), "rep", "left").join(counts, "rep", "left")
-    out = marked.drop("bands").join(known, "set_hash", "left")
+    known = reps.drop("bands", "sketch").join(classes.select(F.col("id").alias("rep"), F.col("label").alias("class_id")), "rep", "left").join(counts, "rep", "left")
+    out = marked.drop("bands", "sketch").join(known, "set_hash", "left")
     return out.select(
         F.col("id").alias("doc_id"), F.coalesce("rep", "id").alias("rep_id"), F.coalesce("class_id", "rep", "id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_grams")
 
