@@ -1,0 +1,39 @@
+"""The stages one by one on the smallest tables."""
+
+import corpus_pipeline
+from tessella.llm import decontaminate, ngram_join, packing, toxicity
+from tessella.llm.queries import QUERIES, tokenizer_path
+from tessella.llm.runtime import crc_mod, materialize
+
+DIR = "/root/testdata/sf0.001"
+
+
+def ids(df):
+    return sorted(r.doc_id for r in df.select("doc_id").collect())
+
+
+def test_all_queries_are_registered():
+    import __spark_entry__
+
+    assert {*QUERIES, "pipeline"} <= set(__spark_entry__.queries()) and len(QUERIES) == 10
+
+
+def test_stages_keep_what_their_operators_keep(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    labels, bench = spark.read.parquet(f"{DIR}/labels.parquet"), spark.read.parquet(f"{DIR}/benchmark.parquet")
+    steps = dict(corpus_pipeline.STAGES)
+    assert list(steps) == ["toxicity", "near_duplicates", "decontamination", "secrets", "packing"]
+    one = materialize(steps["toxicity"](spark, docs, DIR), "t1")
+    scores = toxicity.score(docs, toxicity.fit(docs, labels.where(crc_mod("doc_id", 5) != 0)))
+    assert ids(one) == ids(scores.where("score < 0.5"))
+    two = materialize(steps["near_duplicates"](spark, one, DIR), "t2")
+    assert ids(two) == ids(ngram_join.ngram_join(one).where("doc_id = class_id"))
+    three = materialize(steps["decontamination"](spark, two, DIR), "t3")
+    assert ids(three) == sorted(set(ids(two)) - {r.doc_id for r in decontaminate.decontaminate(two, bench).collect()})
+    four = materialize(steps["secrets"](spark, three, DIR), "t4")
+    assert ids(four) == ids(three)
+    assert all(x.columns == docs.columns for x in (one, two, three, four))
+    five = steps["packing"](spark, four, DIR)
+    size = lambda df: df.selectExpr("sum(length)").first()[0]
+    assert size(five) == size(packing.pieces(four, "doc_id", "text", tokenizer_path("word_bpe_49k.json"), 2048, 0))
+    assert set(ids(five)) == set(ids(four))
