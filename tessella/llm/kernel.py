@@ -55,8 +55,20 @@ def plain(column) -> pa.Array:
     return pc.fill_null(column, "")
 
 
-def slices(text: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets of the rows in them), about `limit` bytes at a time."""
+def bounded(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 * SLICE) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in parts of at most about `limit` bytes of a text column, so that what a worker makes of them stays small."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(batch):
+            end = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + limit, side="right"))
+            end = max(end, at + 1)
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def slices(text: pa.Array, limit: int = SLICE, rows: int = 1 << 31) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets of the rows in them), about `limit` bytes and at most `rows` rows at a time."""
     kind = np.int64 if pa.types.is_large_string(text.type) else np.int32
     n = len(text)
     if not n:
@@ -67,7 +79,7 @@ def slices(text: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.nd
     at = 0
     while at < n:
         end = int(np.searchsorted(offs, offs[at] + limit, side="right")) - 1
-        end = min(max(end, at + 1), n)
+        end = min(max(end, at + 1), at + rows, n)
         yield at, end, raw[offs[at] : offs[end]], offs[at : end + 1] - offs[at]
         at = end
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import U, blocks_of, collect_vector, lowered, slices
+from .kernel import U, blocks_of, bounded, collect_vector, lowered, slices
 from .runtime import hash_fraction, ship
 
 DIM = 4096
@@ -26,7 +26,7 @@ LETTER[[*range(97, 123), *range(128, 256)]] = [*range(97, 123), *range(128, 256)
 
 def gram_counts(text: pa.Array):
     """(first row, end row, documents x DIM counts): byte 2- to 4-grams of letters, other bytes as one space."""
-    for lo, hi, data, offs in slices(text, 1 << 18):
+    for lo, hi, data, offs in slices(text, 1 << 18, 512):
         at = LETTER[data].astype(U)
         n = len(at)
         out = np.zeros((hi - lo) * DIM, dtype=np.float32)
@@ -59,7 +59,7 @@ def document_frequency(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]
 
     def run(it):
         total, texts = np.zeros(DIM, dtype=np.int64), 0
-        for batch in it:
+        for batch in bounded(it, 0):
             for _, _, counts in gram_counts(lowered(batch.column(0))):
                 total += (counts > 0).sum(0)
                 texts += int((counts.any(1)).sum())
@@ -103,7 +103,7 @@ def fit(train: DataFrame, id_col: str, text_col: str, label_col: str, centroids:
         return {"labels": [], "centroids": np.zeros((0, DIM), np.float32), "idf": idf, "radius": np.zeros(0)}
 
     def vectors(it):
-        for batch in it:
+        for batch in bounded(it, 1):
             for lo, hi, counts in gram_counts(lowered(batch.column(1))):
                 x = weighted(counts, idf).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([v.tobytes() for v in x], pa.binary()), batch.column(2).slice(lo, hi - lo)], ["label", "x", "id"])
@@ -136,7 +136,7 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     labels, c, idf, radius = model["labels"], model["centroids"], model["idf"], model["radius"]
 
     def run(it):
-        for batch in it:
+        for batch in bounded(it, 1):
             ids, raw = batch.column(0), batch.column(1)
             text = lowered(raw)
             for lo, hi, counts in gram_counts(text):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .kernel import BASE, U, Words, lowered, mix, shingles, slices
+from .kernel import BASE, U, Words, bounded, lowered, mix, shingles, slices
 from .runtime import materialize, ship
 
 SHELLS = 10  # shells within the limit of distance
@@ -72,7 +72,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int,
     """(id, set_hash, n_grams, bands, sketch): set_hash is null where a text has no word."""
 
     def run(it):
-        for batch in it:
+        for batch in bounded(it, 1):
             ids, text = batch.column(0), lowered(batch.column(1))
             for lo, hi, data, offs in slices(text):
                 grams, bounds = shingles(Words(data, offs), n)
@@ -119,7 +119,7 @@ def gram_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n:
     pages = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, "id"))
 
     def run(it):
-        for batch in it:
+        for batch in bounded(it, 1):
             at = pa.array(np.flatnonzero(passes(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), pages.value)))
             ids, text = batch.column(0).take(at), lowered(batch.column(1).take(at))
             for lo, hi, data, offs in slices(text):

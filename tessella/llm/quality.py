@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import Words, plain, slices
+from .kernel import Words, bounded, plain, slices
 from .runtime import hash_fraction, materialize, ship
 
 PASSAGE = 48
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = labels.where(hash_fraction("id", max_labels, labels.count()))
 
     def run(it):
-        for batch in it:
+        for batch in bounded(it, 1):
             ids, label = batch.column(0), batch.column(2)
             for lo, hi, data, offs in slices(plain(batch.column(1))):
                 x, bounds = passages(data, offs)
@@ -137,7 +137,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     """
 
     def run(it):
-        for batch in it:
+        for batch in bounded(it, 1):
             ids = batch.column(0)
             for lo, hi, data, offs in slices(plain(batch.column(1))):
                 if "constant" in model:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import U, Words, blocks_of, collect_vector, lowered, slices
+from .kernel import U, Words, blocks_of, bounded, collect_vector, lowered, slices
 from .runtime import hash_fraction, materialize, ship
 
 # Classes of characters: a-z, a border, other letters, all else.
@@ -39,7 +39,7 @@ def trigram_counts(docs: DataFrame, text_col: str) -> np.ndarray:
 
     def run(it):
         total = np.zeros(size * KINDS, dtype=np.int64)
-        for batch in it:
+        for batch in bounded(it, 0):
             for _, _, data, offs in slices(lowered(batch.column(0))):
                 k = CLASS[data]
                 if len(k) > 2:
@@ -235,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def in_toxic(it):
         memory: dict = {}
-        for batch in it:
+        for batch in bounded(it, 0):
             for _, _, keys, owner in features(restored(lowered(batch.column(0)), lm, memory)):
                 keys, count = np.unique(distinct(keys, owner)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(count, pa.int64())], ["key", "n"])
@@ -247,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def count(it):
         memory: dict = {}
         total = np.zeros((2, len(keys) + 1), dtype=np.int64)
-        for batch in it:
+        for batch in bounded(it, 0):
             label = batch.column(1).to_numpy().astype(np.int64)
             total[:, -1] += np.bincount(label, minlength=2)
             for lo, _, words, owner in features(restored(lowered(batch.column(0)), lm, memory)):
@@ -262,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def describe(it):
         memory: dict = {}
-        for batch in it:
+        for batch in bounded(it, 0):
             label = batch.column(1).to_numpy()
             x = summaries(restored(lowered(batch.column(0)), lm, memory), lexicon, label)
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(label, pa.int32()), *(pa.array(x[:, j]) for j in range(6))], ["id", "label", *(f"x{j}" for j in range(6))])
@@ -272,15 +272,33 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return {"lm": lm, "lexicon": lexicon, "weights": weights}
 
 
+def probability(text: pa.Array, model: dict) -> np.ndarray:
+    """Scores of restored texts."""
+    x, weights = summaries(text, model["lexicon"]), model["weights"]
+    return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
+
+
+def clean_rows(docs: DataFrame, model: dict, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose score is below threshold, all columns as given: one pass without a shuffle."""
+    names = docs.columns
+
+    def run(it):
+        memory: dict = {}
+        at = names.index(text_col)
+        for batch in bounded(it, at):
+            p = probability(restored(lowered(batch.column(at)), model["lm"], memory), model)
+            yield batch.filter(pa.array(p < threshold))
+
+    ship(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every whole text; a null text scores as an empty one. Repeated ids give a row each."""
-    lm, lexicon, weights = model["lm"], model["lexicon"], model["weights"]
-
     def run(it):
         memory: dict = {}
-        for batch in it:
-            x = summaries(restored(lowered(batch.column(1)), lm, memory), lexicon)
-            p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
+        for batch in bounded(it, 1):
+            p = probability(restored(lowered(batch.column(1)), model["lm"], memory), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["doc_id", "score"])
 
     ship(docs.sparkSession)
