@@ -16,7 +16,9 @@ class Memory:
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
         young, old, missing = self.young, self.old, []
-        for k in keys - young.keys():
+        for k in keys:
+            if k in young:  # not keys - young.keys(), which walks over all of young
+                continue
             v = old.get(k)
             if v is None:
                 missing.append(k)
