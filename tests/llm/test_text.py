@@ -45,6 +45,22 @@ def test_licences_of_headers_files_and_ancestors(spark):
     assert licenses.license_scan(files.limit(0)).count() == 0
 
 
+def test_every_notice_is_found_in_running_text(spark):
+    filler = [f"w{k}" for k in range(300)]
+    notices = [("Proprietary", "All rights reserved."), ("MIT", "Released under the MIT License."), ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), *licenses.TEMPLATES]
+    rows, want = [], {}
+    for k, (name, notice) in enumerate(notices):
+        half = len(notice.split()) // 2
+        wrapped = " ".join(notice.split()[:half]) + "\n# " + " ".join(notice.split()[half:])
+        for j, text in enumerate((notice, f"{' '.join(filler[:150])} {notice} {' '.join(filler[150:])}", f"{' '.join(filler[:80])}\n# {wrapped} {' '.join(filler[80:])}")):
+            rows.append((10 * k + j, None, text))
+            want[10 * k + j] = name
+    tags = {9001: ("// SPDX-License-Identifier: apache-2.0", "Apache-2.0"), 9002: ("x SPDX-License-Identifier: Zlib y", "Zlib"), 9003: ("/* SPDX-License-Identifier: MIT OR Apache-2.0 */", "MIT OR Apache-2.0"), 9004: (" ".join(filler), None)}
+    rows += [(i, None, text) for i, (text, _) in tags.items()]
+    got = {r.doc_id: r.license for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == want | {i: name for i, (_, name) in tags.items()}
+
+
 def brute_pieces(word, scores, longest, byte):
     best = [(0.0, 0)] + [None] * len(word)
     for end in range(1, len(word) + 1):
