@@ -4,7 +4,7 @@ Documents become token ids in one pass (a task keeps the ids of each distinct wh
 so a chunk is tokenised once); only documents longer than a sequence are cut. A piece goes where the
 sum over gaps of (open bins with that gap)^2 becomes smallest. Pieces are dealt over shards by a
 hash, each shard packs on its own, and the bins that stay open are packed again as items by the same
-rule, in rounds, while a round is more than one shard: what a shard leaves open does not add up.
+rule, in rounds, until a round is one shard: what a shard leaves open does not add up.
 """
 
 from __future__ import annotations
@@ -17,16 +17,21 @@ from array import array
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kernel import SLICE, bounded, plain
 from .memory import Memory
 from .runtime import materialize, ship
 
-ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space to str.split(), but not to the tokenizer
-# A run of punctuation between a letter or digit and white space is a pre-token of its own.
-TAIL = re.compile(r"(?<=[0-9a-z\xdf-\xf6\xf8-\xff])([.,;:!?#$%&*|]+)(?=\s|$)")
-BEYOND = re.compile("[^\x00-\xff]")
+# White space to Python and Arrow, but not to the tokenizer, and what may be a special token.
+ODD = "[\\x1c-\\x1f]|<\\|"
+BEYOND = "[^\\x{00}-\\x{ff}]"  # beyond Latin-1
+PUNCTUATION = np.isin(np.arange(256), list(b".,;:!?#$%&*|"))
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+ALPHANUMERIC = np.isin(np.arange(256), list(b"0123456789abcdefghijklmnopqrstuvwxyz"))
+SHARP_S, LAST, DIVISION = 0x9F, 0xBF, 0xB7  # second bytes of the letters from sharp s on, and of the sign among them
 KEPT = 300_000
 assert sys.byteorder == "little" and array("I").itemsize == 4
 _models: dict = {}
@@ -46,49 +51,85 @@ def tokenizer(path: str):
     return _models[path]
 
 
-def encode_documents(texts: list[str], path: str) -> list[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit numbers.
+def encode_words(words: list[str], path: str) -> dict[str, bytes]:
+    """The ids of each word: plain words in rows of 256, which the tokenizer splits again, others one by one."""
+    model, ends = tokenizer(path)
+    plain = [w for w in words if w.isalpha() and w.isascii()]  # one pre-token each
+    out = {}
+    rows = [plain[at : at + 256] for at in range(0, len(plain), 256)]
+    for row, e in zip(rows, model.encode_batch_fast([" ".join(r) for r in rows], add_special_tokens=False)):
+        ids = array("I", e.ids)
+        raw = ids.tobytes()
+        stops = ((np.flatnonzero(ends[np.frombuffer(ids, dtype=np.uint32)]) + 1) * 4).tolist()
+        at = 0
+        for w, stop in zip(row, stops, strict=True):
+            out[w] = raw[at:stop]
+            at = stop
+    rest = [w for w in words if w not in out]
+    for at in range(0, len(rest), 4096):
+        part = rest[at : at + 4096]
+        for w, e in zip(part, model.encode_batch_fast(part, add_special_tokens=False)):
+            out[w] = array("I", e.ids).tobytes()
+    return out
+
+
+def set_apart(texts: pa.Array) -> pa.Array:
+    """Lower-case Latin-1 texts with a space before each run of punctuation that a letter or digit precedes and white space or the end follows."""
+    _, where, data = texts.buffers()
+    offs = np.frombuffer(where, dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(data, dtype=np.uint8)[offs[0] : offs[-1]] if data is not None else np.empty(0, np.uint8)
+    offs = offs - offs[0]
+    mark = PUNCTUATION[raw]
+    begins, stops = mark.copy(), mark.copy()
+    begins[1:] &= ~mark[:-1]
+    stops[:-1] &= ~mark[1:]
+    inner = offs[(offs > 0) & (offs < len(raw))]
+    begins[inner], stops[inner - 1] = mark[inner], mark[inner - 1]
+    begins, stops = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    edge = np.zeros(len(raw) + 1, dtype=bool)
+    edge[offs] = True
+    before, second = raw[np.maximum(begins - 1, 0)], raw[np.maximum(begins - 2, 0)]
+    letter = ALPHANUMERIC[before] | ((second == 0xC3) & (before >= SHARP_S) & (before <= LAST) & (before != DIVISION))
+    after = raw[np.minimum(stops, len(raw) - 1)] if len(raw) else raw
+    wide_space = (after == 0xC2) & np.isin(raw[np.minimum(stops + 1, len(raw) - 1)], [0x85, 0xA0]) if len(raw) else after
+    at = begins[letter & ~edge[begins] & (edge[stops] | SPACE[after] | wide_space.astype(bool))]
+    new = np.insert(raw, at, 32)
+    offs = offs + np.searchsorted(at, offs, side="left")
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(new))
+
+
+def encode_documents(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, one after the other; bounds by text).
 
     The tokenizer lower-cases, drops white space and takes a run of punctuation after a letter as a
-    pre-token, so a text is the sum of its lower-case words and such runs; each distinct one is
-    encoded once. A text with other than Latin-1 characters is split at white space alone, one with
-    what may be a special token is encoded as a whole.
+    pre-token, so a text is the sum of its lower-case chunks between white space and of such runs;
+    each distinct one is encoded once. Texts with other than Latin-1 characters are split at white
+    space alone, and those with what may be a special token or with separators that aren't white
+    space to the tokenizer are encoded whole.
     """
-    model, ends = tokenizer(path)
-
-    def encode(words: list[str]) -> dict[str, bytes]:
-        plain = [w for w in words if w.isalpha() and w.isascii()]  # one pre-token each: encoded in rows of 256
-        out = {}
-        rows = [plain[at : at + 256] for at in range(0, len(plain), 256)]
-        for row, e in zip(rows, model.encode_batch_fast([" ".join(r) for r in rows], add_special_tokens=False)):
-            ids = array("I", e.ids)
-            raw = ids.tobytes()
-            stops = ((np.flatnonzero(ends[np.frombuffer(ids, dtype=np.uint32)]) + 1) * 4).tolist()
-            at = 0
-            for w, stop in zip(row, stops, strict=True):
-                out[w] = raw[at:stop]
-                at = stop
-        rest = [w for w in words if w not in out]
-        for at in range(0, len(rest), 4096):
-            part = rest[at : at + 4096]
-            for w, e in zip(part, model.encode_batch_fast(part, add_special_tokens=False)):
-                out[w] = array("I", e.ids).tobytes()
-        return out
-
-    parts = []
-    for t in texts:
-        if ODD_SPACE.search(t) or "<|" in t:
-            parts.append(None)
-        elif BEYOND.search(t):
-            parts.append(t.split())
-        else:
-            parts.append(TAIL.sub(r" \1", t.lower()).split())
-    fresh = set()
-    for p in parts:
-        if p:
-            fresh.update(p)
-    get = _words[path].ready(fresh, encode).__getitem__
-    return [array("I", model.encode(t, add_special_tokens=False).ids).tobytes() if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts)]
+    model, _ = tokenizer(path)
+    odd, wide = (pc.match_substring_regex(texts, p) for p in (ODD, BEYOND))
+    whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+    if len(whole):
+        texts_read, texts = texts, pc.if_else(odd, "", texts)
+    lower = pc.utf8_lower(texts)
+    apart = set_apart(pc.if_else(wide, "", lower) if pc.any(wide).as_py() else lower)
+    chunks = pc.utf8_split_whitespace(pc.if_else(wide, texts, apart) if pc.any(wide).as_py() else apart)
+    coded = chunks.flatten().dictionary_encode()
+    distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+    raws = list(map(_words[path].ready(distinct, lambda new: encode_words(new, path)).__getitem__, distinct))
+    sizes = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
+    flat = np.frombuffer(b"".join(raws), dtype="<u4")
+    n = sizes[at]
+    ends = np.cumsum(n)
+    ids = flat[np.repeat((np.cumsum(sizes) - sizes)[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+    bounds = np.concatenate([[0], ends])[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()]
+    if len(whole):
+        parts = np.split(ids, bounds[1:-1])
+        for d in whole.tolist():
+            parts[d] = np.array(model.encode(texts_read[d].as_py(), add_special_tokens=False).ids, dtype="<u4")
+        ids, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    return ids, bounds
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, size: int, end_id: int) -> DataFrame:
@@ -99,22 +140,19 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, size: int, en
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        for batch in it:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            at = 0
-            while at < len(ids):
-                end, chars = at, 0
-                while end < len(ids) and chars < 2_000_000:
-                    chars += len(texts[end].as_py() or "")
-                    end += 1
-                out = []
-                for i, raw in zip(ids[at:end], encode_documents([x or "" for x in texts.slice(at, end - at).to_pylist()], path)):
-                    raw += tail
-                    for k, lo in enumerate(range(0, len(raw), size * 4)):
-                        part = raw[lo : lo + size * 4]
-                        out.append((i, k, lo // 4, len(part) // 4, zlib.crc32(part)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
-                at = end
+        for batch in bounded(it, 1, 4 * SLICE):
+            ids, bounds = encode_documents(plain(batch.column(1)), path)
+            length = np.diff(bounds) + 1
+            count = -(-length // size)
+            doc = np.repeat(np.arange(len(batch)), count)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+            start = piece * size
+            long = np.minimum(size, length[doc] - start)
+            raw = memoryview(ids.tobytes())
+            low, last = ((bounds[:-1][doc] + start) * 4).tolist(), (start + long == length[doc]).tolist()
+            high = ((bounds[:-1][doc] + start + long) * 4).tolist()
+            crc = [zlib.crc32(tail, zlib.crc32(raw[a : b - 4])) if end else zlib.crc32(raw[a:b]) for a, b, end in zip(low, high, last)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(long, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
@@ -152,11 +190,8 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
     return bins, offsets
 
 
-def pack_shards(items: DataFrame, size: int, shard_items: int) -> DataFrame:
-    """items(item, length) -> (item, bin, offset, filled): bins of `size`, made in shards of about shard_items."""
-    n = items.count()
-    shards = max(1, -(-n // shard_items))
-
+def pack_shards(items: DataFrame, size: int, shards: int) -> DataFrame:
+    """items(item, length) -> (item, bin, offset, filled): bins of `size`, made in as many shards."""
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         # Long items first leave few gaps, short ones then fill them.
         pdf = pdf.sort_values(["length", "item"], ascending=[False, True])
@@ -164,29 +199,38 @@ def pack_shards(items: DataFrame, size: int, shard_items: int) -> DataFrame:
         fill = np.bincount(bins, weights=pdf.length).astype(np.int64)
         return pd.DataFrame({"item": pdf.item, "bin": bins * shards + key[0], "offset": offsets, "filled": fill[bins]})
 
-    return items.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(run, "item string, bin long, offset long, filled long")
+    return items.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(run, "item long, bin long, offset long, filled long")
+
+
+LEVEL = 58  # bits of a number within a round
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 0, shard_items: int = 4000, rounds: int = 3) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 0, shard_items: int = 4000) -> DataFrame:
     """Packs all documents into sequences of at most `size` tokens.
 
     Returns a row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null or
-    empty text has its end id alone. Repeated rows of an id are packed each (told apart by their
-    order among equal rows); further columns are ignored; an empty table gives no rows.
+    empty text has its end id alone; a null id stays null. Repeated rows of an id are packed each;
+    further columns are ignored, whatever their names; an empty table gives no rows. A sequence_id is
+    the round that closed the sequence and its number there, so no two share one.
     """
     cut = pieces(docs, id_col, text_col, path, size, end_id)
-    cut = materialize(cut.withColumn("item", F.concat_ws("-", "doc_id", "piece", F.monotonically_increasing_id())), "pieces")
-    full = cut.where(F.col("length") == size).select("item", F.concat(F.lit("f"), "item").alias("seq"), F.lit(0).cast("long").alias("base"))
-    items = cut.where(F.col("length") < size).select("item", "length")
-    # place: of every item so far its sequence and offset; open: sequences that take part in the next round.
-    packed = materialize(pack_shards(items, size, shard_items), "packed-0")
-    place = packed.select("item", F.concat(F.lit("0-"), "bin").alias("seq"), F.col("offset").alias("base"))
-    for k in range(1, rounds + 1):
-        left = packed.where(F.col("filled") < size).groupBy("bin").agg(F.max("filled").alias("length")).select(F.concat(F.lit(f"{k - 1}-"), "bin").alias("item"), "length")
-        if left.count() < 2:
+    cut = materialize(cut.withColumn("item", F.monotonically_increasing_id()), "pieces")
+    named = lambda level, number: F.lit(level << LEVEL) + F.col(number)
+    full = cut.where(F.col("length") == size).select("item", named(0, "item").alias("seq"), F.lit(0).cast("long").alias("base"))
+    items, place, level, n = cut.where(F.col("length") < size).select("item", "length"), None, 0, None
+    n = items.count()
+    # place: of every item so far its sequence and offset. The bins that stay open are the next round's items.
+    while n > 1 or place is None:
+        level, shards = level + 1, max(1, -(-n // shard_items))
+        packed = materialize(pack_shards(items, size, shards), f"packed-{level}")
+        if place is None:
+            place = packed.select("item", named(1, "bin").alias("seq"), F.col("offset").alias("base"))
+        else:
+            moved = packed.select(named(level - 1, "item").alias("seq"), named(level, "bin").alias("new"), F.col("offset").alias("more"))
+            place = place.join(moved, "seq", "left").select("item", F.coalesce("new", "seq").alias("seq"), (F.col("base") + F.coalesce("more", F.lit(0))).alias("base"))
+        items = packed.where(F.col("filled") < size).groupBy("bin").agg(F.max("filled").alias("length")).select(F.col("bin").alias("item"), "length")
+        before, n = n, items.count()
+        if shards == 1 or n >= before:
             break
-        packed = materialize(pack_shards(left, size, shard_items), f"packed-{k}")
-        moved = packed.select(F.col("item").alias("seq"), F.concat(F.lit(f"{k}-"), "bin").alias("new"), F.col("offset").alias("more"))
-        place = place.join(moved, "seq", "left").select("item", F.coalesce("new", "seq").alias("seq"), (F.col("base") + F.coalesce("more", F.lit(0))).alias("base"))
     place = place.unionByName(full)
-    return cut.join(place, "item").select("doc_id", "piece", "start", "length", "ids_crc32", F.xxhash64("seq").alias("sequence_id"), F.col("base").alias("offset"))
+    return cut.join(place, "item").select("doc_id", "piece", "start", "length", "ids_crc32", F.col("seq").alias("sequence_id"), F.col("base").alias("offset"))

@@ -136,15 +136,18 @@ def test_packing_is_an_exact_round_trip(spark):
 
     path = tokenizer_path("word_bpe_49k.json")
     model = Tokenizer.from_file(path)
-    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").unionByName(odd(spark).select("doc_id", "text"))
-    got = packing.pack(docs, path).toPandas()
+    marks = [(1000 + k, t) for k, t in enumerate(["A  b,c. D!! x<|e|>", "ü ÄÖ, ß; naïve÷.", "漢字 mixed ÉÀ x.", "a\x1cb.", "x\xa0y.\x85z!\xa0", "..., ,.", "3.14, a--b. (x), y?!", "x.", "."])]
+    marks += [(None, "no id"), (1001, "one id, two texts")]
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").unionByName(odd(spark).select("doc_id", "text")).unionByName(spark.createDataFrame(marks, "doc_id long, text string"))
+    got = packing.pack(docs.selectExpr("*", "1 as item", "2 as bin", "'x' as seq", "3 as base", "4 as length"), path, shard_items=40).toPandas()
     want = []
     for r in docs.collect():
         ids = model.encode(r.text or "", add_special_tokens=False).ids + [0]
         for k, at in enumerate(range(0, len(ids), 2048)):
             part = np.array(ids[at : at + 2048], dtype="<u4")
             want.append((r.doc_id, k, at, len(part), zlib.crc32(part.tobytes())))
-    assert sorted(map(tuple, got[["doc_id", "piece", "start", "length", "ids_crc32"]].to_numpy().tolist())) == sorted(want)
+    key = lambda r: tuple(-1 if v is None or v != v else v for v in r)
+    assert sorted(map(key, got[["doc_id", "piece", "start", "length", "ids_crc32"]].to_numpy().tolist())) == sorted(map(key, want))
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() <= 2048
     assert got.sequence_id.nunique() <= math.ceil(got.length.sum() / 2048) + 2
