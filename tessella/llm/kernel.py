@@ -55,6 +55,39 @@ def plain(column) -> pa.Array:
     return pc.fill_null(column, "")
 
 
+WIDE_SPACE = "[\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+SPACE = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
+
+
+def one_byte_spaces(texts: pa.Array) -> pa.Array:
+    """Texts whose white space is ASCII."""
+    return pc.replace_substring_regex(texts, WIDE_SPACE, " ") if pc.any(pc.match_substring_regex(texts, WIDE_SPACE)).as_py() else texts
+
+
+def set_apart(texts: pa.Array, runs: np.ndarray, mark: bytes, fits=None) -> pa.Array:
+    """Texts with `mark` before each run of bytes of `runs` that ends a chunk between white space and
+    does not begin it; fits(last byte before the run, the one before that) may leave out some."""
+    _, where, data = texts.buffers()
+    offs = np.frombuffer(where, dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(data, dtype=np.uint8)[offs[0] : offs[-1]] if data is not None else np.empty(0, np.uint8)
+    offs = offs - offs[0]
+    inside = runs[raw]
+    begins, stops = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    stops[:-1] &= ~inside[1:]
+    cuts = offs[(offs > 0) & (offs < len(raw))]
+    begins[cuts], stops[cuts - 1] = inside[cuts], inside[cuts - 1]
+    begins, stops = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    edge = np.zeros(len(raw) + 1, dtype=bool)
+    edge[offs] = True
+    before, second = raw[np.maximum(begins - 1, 0)], raw[np.maximum(begins - 2, 0)]
+    ok = ~edge[begins] & ~SPACE[before] & (edge[stops] | SPACE[np.append(raw, np.uint8(32))[stops]])
+    at = begins[ok & fits(before, second)] if fits is not None else begins[ok]
+    new = np.insert(raw, np.repeat(at, len(mark)), np.tile(np.frombuffer(mark, dtype=np.uint8), len(at)))
+    offs = offs + len(mark) * np.searchsorted(at, offs, side="left")
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(new))
+
+
 def bounded(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 * SLICE) -> Iterator[pa.RecordBatch]:
     """The rows of batches in parts of at most about `limit` bytes of a text column, so that what a worker makes of them stays small."""
     for batch in batches:

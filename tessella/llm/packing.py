@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import SLICE, bounded, plain
+from .kernel import SLICE, bounded, one_byte_spaces, plain, set_apart
 from .memory import Memory
 from .runtime import materialize, ship
 
@@ -29,7 +29,6 @@ from .runtime import materialize, ship
 ODD = "[\\x1c-\\x1f]|<\\|"
 BEYOND = "[^\\x{00}-\\x{ff}]"  # beyond Latin-1
 PUNCTUATION = np.isin(np.arange(256), list(b".,;:!?#$%&*|"))
-SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 ALPHANUMERIC = np.isin(np.arange(256), list(b"0123456789abcdefghijklmnopqrstuvwxyz"))
 SHARP_S, LAST, DIVISION = 0x9F, 0xBF, 0xB7  # second bytes of the letters from sharp s on, and of the sign among them
 KEPT = 300_000
@@ -73,29 +72,8 @@ def encode_words(words: list[str], path: str) -> dict[str, bytes]:
     return out
 
 
-def set_apart(texts: pa.Array) -> pa.Array:
-    """Lower-case Latin-1 texts with a space before each run of punctuation that a letter or digit precedes and white space or the end follows."""
-    _, where, data = texts.buffers()
-    offs = np.frombuffer(where, dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    raw = np.frombuffer(data, dtype=np.uint8)[offs[0] : offs[-1]] if data is not None else np.empty(0, np.uint8)
-    offs = offs - offs[0]
-    mark = PUNCTUATION[raw]
-    begins, stops = mark.copy(), mark.copy()
-    begins[1:] &= ~mark[:-1]
-    stops[:-1] &= ~mark[1:]
-    inner = offs[(offs > 0) & (offs < len(raw))]
-    begins[inner], stops[inner - 1] = mark[inner], mark[inner - 1]
-    begins, stops = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    edge = np.zeros(len(raw) + 1, dtype=bool)
-    edge[offs] = True
-    before, second = raw[np.maximum(begins - 1, 0)], raw[np.maximum(begins - 2, 0)]
-    letter = ALPHANUMERIC[before] | ((second == 0xC3) & (before >= SHARP_S) & (before <= LAST) & (before != DIVISION))
-    after = raw[np.minimum(stops, len(raw) - 1)] if len(raw) else raw
-    wide_space = (after == 0xC2) & np.isin(raw[np.minimum(stops + 1, len(raw) - 1)], [0x85, 0xA0]) if len(raw) else after
-    at = begins[letter & ~edge[begins] & (edge[stops] | SPACE[after] | wide_space.astype(bool))]
-    new = np.insert(raw, at, 32)
-    offs = offs + np.searchsorted(at, offs, side="left")
-    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(new))
+def after_letter(before: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return ALPHANUMERIC[before] | ((second == 0xC3) & (before >= SHARP_S) & (before <= LAST) & (before != DIVISION))
 
 
 def encode_documents(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -112,8 +90,8 @@ def encode_documents(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray
     whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
     if len(whole):
         texts_read, texts = texts, pc.if_else(odd, "", texts)
-    lower = pc.utf8_lower(texts)
-    apart = set_apart(pc.if_else(wide, "", lower) if pc.any(wide).as_py() else lower)
+    lower = one_byte_spaces(pc.utf8_lower(texts))
+    apart = set_apart(pc.if_else(wide, "", lower) if pc.any(wide).as_py() else lower, PUNCTUATION, b" ", after_letter)
     chunks = pc.utf8_split_whitespace(pc.if_else(wide, texts, apart) if pc.any(wide).as_py() else apart)
     coded = chunks.flatten().dictionary_encode()
     distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)

@@ -75,8 +75,10 @@ def brute_pieces(word, scores, longest, byte):
 def test_token_counts_equal_a_walk_without_a_trie(spark):
     path = tokenizer_path("piece_bpe_32k.model")
     vocabulary = token_counts.unigram(path)
-    texts = ODD + [(1, "Prefixes: prefix, prefixed; preset!"), (2, "... a--b 3.14 ((x))"), (3, "naïve ümlaut 漢字")]
-    got = {r.doc_id: r for r in token_counts.token_counts(spark.createDataFrame(texts, "doc_id long, text string"), path).collect()}
+    texts = ODD + [(1, "Prefixes: prefix, prefixed; preset!"), (2, "... a--b 3.14 ((x))"), (3, "naïve ümlaut 漢字"), (4, "\x01 \x01. a\x01. \u3000.b.\u2003..c.\x1c.\x85,x, -\xa0-"), (None, "no id.")]
+    table = spark.createDataFrame([(i, t, 1, 2) for i, t in texts], "doc_id long, text string, n_words int, id int")
+    got = {r.doc_id: r for r in token_counts.token_counts(table, path).collect()}
+    assert token_counts.token_counts(table.limit(0), path).count() == 0
     for i, text in texts:
         parts = []
         for c in (text or "").split():
