@@ -2,24 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df written once in the session's shared folder (spark.checkpoint.dir) and read back: lineage ends there."""
-    spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tessella_")
-        spark.sparkContext.setCheckpointDir(base)
-    path = os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..scratch import discard, materialize
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -46,60 +32,68 @@ def neighbours(edges: DataFrame, focus: DataFrame) -> DataFrame:
     return out.unionByName(focus.select("id").join(edges.select(F.col("b").alias("id"), F.col("a").alias("neighbour")), "id").withColumn("direction", F.lit("in")))
 
 
-def layers(edges: DataFrame, start: DataFrame, most: int = 10) -> DataFrame:
-    """(id, depth) of all that is reached along the edges from start(id) in at most `most` steps."""
-    seen = cut(start.select("id").distinct().withColumn("depth", F.lit(0)), "layers")
-    for depth in range(1, most + 1):
+def layers(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, depth) of all that is reached along the edges from start(id), in at most `most` steps where that is given."""
+    seen, depth = materialize(start.select("id").distinct().withColumn("depth", F.lit(0)), "layers"), 0
+    while most is None or depth < most:
+        depth += 1
         edge = seen.where(F.col("depth") == depth - 1).select(F.col("id").alias("a")).join(edges, "a").select(F.col("b").alias("id")).distinct()
-        new = cut(edge.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), "layer")
+        new = materialize(edge.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), "layer")
         if new.isEmpty():
             break
         seen = seen.unionByName(new)
     return seen
 
 
-def shortest_path(edges: DataFrame, source, target, most: int = 10) -> DataFrame:
-    """(id, path) of the target: of the shortest undirected paths the first by order of its nodes."""
+def shortest_path(edges: DataFrame, source, target, most: int | None = None) -> DataFrame:
+    """(id, path) of the target: of the shortest undirected paths the first by order of its nodes; no row where none has at most `most` edges."""
     both = both_ways(edges)
     spark = edges.sparkSession
     kind = both.schema["a"].dataType
     front = spark.createDataFrame([(source,)], "id string").select(F.col("id").cast(kind)).withColumn("path", F.array("id"))
-    seen = front
-    for _ in range(most):
-        if not seen.where(F.col("id") == F.lit(target)).isEmpty():
-            break
+    seen, depth = front, 0
+    while seen.where(F.col("id") == F.lit(target)).isEmpty() and (most is None or depth < most):
+        depth += 1
         step = front.select(F.col("id").alias("a"), "path").join(both, "a").groupBy(F.col("b").alias("id")).agg(F.min("path").alias("path"))
-        front = cut(step.join(seen.select("id"), "id", "left_anti").withColumn("path", F.concat("path", F.array("id"))), "paths")
+        front = materialize(step.join(seen.select("id"), "id", "left_anti").withColumn("path", F.concat("path", F.array("id"))), "paths")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
     return seen.where(F.col("id") == F.lit(target))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, label): the smallest id of its component, by smallest labels and pointer jumping."""
-    both = cut(both_ways(edges), "edges")
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
-    for _ in range(rounds):
+def components(edges: DataFrame) -> DataFrame:
+    """edges(a, b) -> (id, label), the smallest id of its component.
+
+    Each round takes the smallest label among the neighbours, then the label of that label (pointer
+    jumping), until nothing changes. A hub's label is joined to many rows, which adaptive execution
+    splits, as the other side has one row. Edges with a null end are left out; self edges and
+    repeated edges do no harm; no edges give no rows. Tables of earlier rounds are deleted.
+    """
+    both = materialize(both_ways(edges.where("a is not null and b is not null")), "edges")
+    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
+    while True:
         near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         mid = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
-        new = cut(mid.join(labels.select(F.col("id").alias("mid"), F.col("label").alias("far")), "mid").select("id", "old", F.least("mid", "far").alias("label")), "labels")
-        labels = new.select("id", "label")
-        if new.where("old <> label").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
-
-
-def on_cycles(edges: DataFrame, most: int = 1000) -> DataFrame:
-    """Edges that remain when nodes that nothing leads to, or that lead nowhere, are taken away again and again; none: no cycle."""
-    left = cut(edges.select("a", "b").distinct(), "peel")
+        new = materialize(mid.join(labels.select(F.col("id").alias("mid"), F.col("label").alias("far")), "mid").select("id", "old", F.least("mid", "far").alias("label")), "labels")
+        settled = new.where("old <> label").isEmpty()
+        discard(labels)
+        labels = new
+        if settled:
+            discard(both)
+            return labels.select("id", "label")
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """Edges that remain when nodes that nothing leads to, or that lead nowhere, are taken away until none is left; no rows: no cycle."""
+    left = materialize(edges.select("a", "b").where("a is not null and b is not null").distinct(), "peel")
     n = left.count()
-    for _ in range(most):
-        left = cut(left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"), "peel")
-        now = left.count()
-        if now == n or not now:
+    while n:
+        new = materialize(left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"), "peel")
+        discard(left)
+        left, before, n = new, n, new.count()
+        if n == before:
             break
-        n = now
     return left
 
 
@@ -110,13 +104,13 @@ def within_budget(seen: DataFrame, labels: DataFrame, budget: int) -> DataFrame:
     return ranked.join(F.broadcast(hidden))  # one row
 
 
-def root_paths(edges: DataFrame, most: int = 20) -> DataFrame:
+def root_paths(edges: DataFrame) -> DataFrame:
     """(id, path): of all paths from a root to a node the shortest, then the first by order. edges lead from parent to child."""
     roots = edges.join(edges.select(F.col("b").alias("a")), "a", "left_anti").select(F.col("a").alias("id")).distinct()
-    front = seen = cut(roots.withColumn("path", F.array("id")), "roots")
-    for _ in range(most):
+    front = seen = materialize(roots.withColumn("path", F.array("id")), "roots")
+    while True:
         step = front.select(F.col("id").alias("a"), "path").join(edges, "a").groupBy(F.col("b").alias("id")).agg(F.min("path").alias("path"))
-        front = cut(step.join(seen.select("id"), "id", "left_anti").withColumn("path", F.concat("path", F.array("id"))), "roots")
+        front = materialize(step.join(seen.select("id"), "id", "left_anti").withColumn("path", F.concat("path", F.array("id"))), "roots")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
