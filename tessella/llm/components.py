@@ -1,30 +1,5 @@
-"""Connected components of an edge list, by smallest labels and pointer jumping."""
+"""Connected components: those of the graph operators."""
 
-from __future__ import annotations
+from ..operators.graph import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .runtime import materialize
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """edges(a, b) -> (id, label): label is the smallest id of the component.
-
-    Each round takes the smallest label among the neighbours, then the label of that label; only
-    counts come to the driver, and every round is cut off by a written table. Self edges and repeated
-    edges do no harm; null ends are left out; no edges give no rows.
-    """
-    edges = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "cc-labels")
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
-        jump = labels.select(F.col("id").alias("mid"), F.col("label").alias("far"))
-        new = materialize(step.join(jump, "mid").select("id", "old", F.least("mid", "far").alias("label")), "cc-labels")
-        changed = new.where(F.col("old") != F.col("label")).limit(1).count()
-        labels = new.select("id", "label")
-        if not changed:
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+__all__ = ["components"]

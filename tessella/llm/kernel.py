@@ -18,7 +18,8 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 WORD = np.zeros(256, dtype=bool)
 WORD[[*range(48, 58), *range(97, 123), 95, *range(128, 256)]] = True
-SLICE = 1 << 20
+SLICE = 1 << 18
+LIMIT = 4 << 20  # bytes of text that a worker takes at a time
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -88,7 +89,7 @@ def set_apart(texts: pa.Array, runs: np.ndarray, mark: bytes, fits=None) -> pa.A
     return pa.StringArray.from_buffers(len(texts), pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(new))
 
 
-def bounded(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 * SLICE) -> Iterator[pa.RecordBatch]:
+def bounded(batches: Iterator[pa.RecordBatch], column: int, limit: int = LIMIT) -> Iterator[pa.RecordBatch]:
     """The rows of batches in parts of at most about `limit` bytes of a text column, so that what a worker makes of them stays small."""
     for batch in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -18,20 +18,23 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .kernel import BASE, U, Words, bounded, lowered, mix, shingles, slices
-from .runtime import materialize, ship
+from .runtime import discard, materialize, ship
 
 SHELLS = 10  # shells within the limit of distance
 
 
-def choose_bands(threshold: float, recall: float, rows: int = 5) -> tuple[int, int]:
-    """(bands, rows): as many bands as a pair at the threshold needs to share one with probability `recall`."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)), rows
+def choose_bands(threshold: float, recall: float, hashes: int = 96) -> tuple[int, int]:
+    """(bands, rows): a pair at the threshold shares a band with probability `recall`, and the rows are
+    as many as `hashes` minhashes allow, since longer bands bring fewer unlike pairs together."""
+    found = [(math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)), rows) for rows in range(1, hashes + 1)]
+    return max((x for x in found if x[0] * x[1] <= hashes), key=lambda x: x[1], default=found[0])
 
 
 def band_hashes(grams: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,25 +71,25 @@ def agreement(x, y, words: int, hashes: int):
     return 1 - odd / hashes
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int) -> DataFrame:
-    """(id, set_hash, n_grams, bands, sketch): set_hash is null where a text has no word."""
+def set_name(own: np.ndarray) -> str | None:
+    return xxhash.xxh3_128_hexdigest(own.tobytes()) if len(own) else None
+
+
+def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
+    """docs(row, id, text) -> (row, id, set_hash, n_grams, bands, sketch): set_hash is null where a text has no word."""
 
     def run(it):
-        for batch in bounded(it, 1):
-            ids, text = batch.column(0), lowered(batch.column(1))
+        for batch in bounded(it, 2):
+            text = lowered(batch.column(2))
             for lo, hi, data, offs in slices(text):
                 grams, bounds = shingles(Words(data, offs), n)
                 marks, sketch = band_hashes(grams, bounds, bands, rows)
-                names, sizes = [], []
-                for d in range(hi - lo):
-                    own = np.unique(grams[bounds[d] : bounds[d + 1]])
-                    sizes.append(len(own))
-                    names.append(xxhash.xxh3_128_hexdigest(own.tobytes()) if len(own) else None)
+                own = [np.unique(grams[bounds[d] : bounds[d + 1]]) for d in range(hi - lo)]
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel(), pa.int64())) for x in (marks, sketch)]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(names, pa.string()), pa.array(sizes, pa.int32()), *lists], ["id", "set_hash", "n_grams", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(map(set_name, own), pa.string()), pa.array(map(len, own), pa.int32()), *lists], ["row", "id", "set_hash", "n_grams", "bands", "sketch"])
 
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, set_hash string, n_grams int, bands array<long>, sketch array<long>")
+    return docs.mapInArrow(run, "row long, id long, set_hash string, n_grams int, bands array<long>, sketch array<long>")
 
 
 BITS = 1 << 27  # of the filter on ids: 16 MB at most, whatever is asked for
@@ -111,24 +114,25 @@ def passes(ids: np.ndarray, pages: dict[int, bytes]) -> np.ndarray:
     return out
 
 
-def gram_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(rep, grams): the sorted distinct n-gram hashes, 8 bytes each, of the texts whose ids are in wanted(id).
+def gram_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """docs(id, text), wanted(rep, set_hash, id) -> (rep, grams): the sorted distinct n-gram hashes, 8 bytes each, of the wanted sets.
 
-    A filter of fixed size on the ids keeps most other texts out of the shuffle; the join then is exact.
+    A filter of fixed size on the ids (null ids pass) keeps most other texts out of the shuffle; the
+    join on the set then is exact, whatever ids a text has.
     """
-    pages = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, "id"))
+    pages = docs.sparkSession.sparkContext.broadcast(id_filter(wanted.where("id is not null"), "id"))
 
     def run(it):
         for batch in bounded(it, 1):
-            at = pa.array(np.flatnonzero(passes(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), pages.value)))
-            ids, text = batch.column(0).take(at), lowered(batch.column(1).take(at))
-            for lo, hi, data, offs in slices(text):
+            ids = pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = pa.array(np.flatnonzero(passes(ids, pages.value) | batch.column(0).is_null().to_numpy(zero_copy_only=False)))
+            for lo, hi, data, offs in slices(lowered(batch.column(1).take(at))):
                 grams, bounds = shingles(Words(data, offs), n)
-                sets = [np.unique(grams[bounds[d] : bounds[d + 1]]).tobytes() for d in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(sets, pa.binary())], ["rep", "grams"])
+                sets = [np.unique(grams[bounds[d] : bounds[d + 1]]) for d in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays([pa.array(map(set_name, sets), pa.string()), pa.array([x.tobytes() for x in sets], pa.binary())], ["set_hash", "grams"])
 
-    sets = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "rep long, grams binary")
-    return sets.join(wanted.select(F.col("id").alias("rep")), "rep", "left_semi")
+    sets = docs.select("id", "text").mapInArrow(run, "set_hash string, grams binary")
+    return sets.join(wanted.select("rep", "set_hash"), "set_hash").select("rep", "grams").dropDuplicates(["rep"])
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -137,8 +141,8 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(it):
         for batch in it:
             inter, both = [], []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U)
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), dtype=U), np.frombuffer(y.as_buffer(), dtype=U)
                 inter.append(len(np.intersect1d(x, y, assume_unique=True)))
                 both.append(len(x) + len(y) - inter[-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inter, pa.int64()), pa.array(both, pa.int64())], ["a", "b", "inter", "both"])
@@ -230,23 +234,28 @@ def hot_links(hot: DataFrame, sets: DataFrame, num: int, den: int, block_rows: i
     return edges, counts
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 4, den: int = 5, recall: float = 0.999, cold: int = 16, block_rows: int = 384, block_bytes: int = 4 << 20) -> DataFrame:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 4, den: int = 5, recall: float = 0.999, cold: int = 16, block_rows: int = 384, block_bytes: int = 4 << 20, row_col: str | None = None) -> DataFrame:
     """Documents whose word n-gram sets have a Jaccard similarity of num/den or more.
 
-    Returns one row per document: doc_id, rep_id (smallest id with the same n-gram set), class_id
-    (smallest id of the class that links join it to), n_copies (documents with this set, itself
-    included), n_links (other sets that its set links to), n_grams.
-
-    Texts of fewer than n words have one n-gram, all their words. Null texts and texts without a word
-    link to nothing: their class is their own id, with 1 copy and 0 links. Ids must be integers and
-    not negative; further columns are ignored; repeated rows of an id count as copies of it. An empty
-    table gives no rows. A pair at the threshold is found with probability `recall` or more.
+    Returns one row per row of docs: doc_id, rep_id (smallest id with the same n-gram set), class_id
+    (smallest id of the class that links join it to), n_copies (rows with this set, itself included),
+    n_links (other sets that its set links to), n_grams; and with row_col (a unique long, stable over
+    runs of docs) that number and class_row, the row that stands for the class: the first by id (null
+    last) and number.
+
+    Rows are told apart by a number of their own, so an id may stand for several texts, or be null: a
+    null id takes part as any other and is a rep_id or class_id only where no copy has an id. Texts of
+    fewer than n words have one n-gram, all their words. Null texts and texts without a word link to
+    nothing: their class is their own id, with 1 copy and 0 links. Ids are integers; further columns
+    are ignored, whatever their names; repeated rows count as copies; an empty table gives no rows. A
+    pair at the threshold is found with probability `recall` or more.
     """
     bands, rows = choose_bands(num / den, recall)
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marked = materialize(signatures(base, "id", "text", n, bands, rows), "signatures")
-    reps = materialize(
-        marked.where("set_hash is not null").groupBy("set_hash").agg(F.min(F.struct("id", "bands", "sketch")).alias("first"), F.count("*").alias("n_copies")).select("set_hash", F.col("first.id").alias("rep"), F.col("first.bands").alias("bands"), F.col("first.sketch").alias("sketch"), "n_copies"), "reps")
+    base = docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    marked = materialize(signatures(base, n, bands, rows), "signatures")
+    # A set is known by the row of its first document: by id, null last, then by row.
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "bands", "sketch"))
+    reps = materialize(marked.where("set_hash is not null").groupBy("set_hash").agg(first.alias("first"), F.count("*").alias("n_copies")).select("set_hash", F.col("first.row").alias("rep"), "first.id", "first.bands", "first.sketch", "n_copies"), "reps")
     members = reps.select("rep", F.posexplode("bands").alias("band", "mark"))
     buckets = materialize(members.groupBy("band", "mark").agg(F.count("*").alias("size"), F.min("rep").alias("first")).where("size > 1"), "buckets")
     filled = members.join(buckets, ["band", "mark"])
@@ -257,35 +266,47 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if any_hot:
         hot = materialize(components(hot_rows.select(F.col("rep").alias("a"), F.col("first").alias("b"))).select(F.col("id").alias("rep"), F.col("label").alias("comp")), "hot")
         pairs = pairs.join(hot.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a", "left").join(hot.select(F.col("rep").alias("b"), F.col("comp").alias("cb")), "b", "left").where("ca is null or cb is null or ca <> cb").select("a", "b")
-    # A pair at the threshold agrees in about (1 + 15 num / den) / 16 of its sketch. Five standard
-    # deviations below that, full sets need not be fetched; such a pair is missed less than once in a million.
+    # A pair at the threshold agrees in about (1 + 15 num / den) / 16 of its sketch. Seven standard
+    # deviations below that, full sets need not be fetched: such a pair is missed once in 10 ** 11.
     share = (1 + 15 * num / den) / 16
-    least = share - 5 * math.sqrt(share * (1 - share) / (bands * rows))
+    least = share - 7 * math.sqrt(share * (1 - share) / (bands * rows))
     side = lambda c: reps.select(F.col("rep").alias(c), F.col("sketch").alias(f"s{c}"))
     likely = pairs.join(side("a"), "a").join(side("b"), "b").where(agreement(F.col("sa"), F.col("sb"), -(-bands * rows // 16), bands * rows) >= least)
     pairs = materialize(likely.select("a", "b"), "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep")))
     if any_hot:
-        wanted = wanted.unionByName(hot.select(F.col("rep").alias("id")))
-    sets = materialize(gram_sets(base, wanted.distinct(), "id", "text", n).dropDuplicates(["rep"]), "sets")
+        wanted = wanted.unionByName(hot.select("rep"))
+    wanted = reps.select("rep", "set_hash", "id").join(wanted.distinct(), "rep", "left_semi")
+    sets = materialize(gram_sets(base, wanted, n), "sets")
     links = materialize(overlaps(pairs, sets).where(linked(num, den)).select("a", "b"), "links")
     edges, counts = links, links.select(F.col("a").alias("rep"), F.lit(1).cast("long").alias("n")).unionByName(links.select(F.col("b").alias("rep"), F.lit(1).cast("long").alias("n")))
     if any_hot:
         more, within = hot_links(hot, sets, num, den, block_rows, block_bytes)
         edges, counts = edges.unionByName(more), counts.unionByName(within)
-    classes = components(edges)
+    classes = components(edges).withColumnRenamed("id", "rep").join(reps.select("rep", "id"), "rep")
+    best = classes.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rep")).alias("best"))
+    classes = materialize(classes.join(best, "label").select("rep", F.col("best.id").alias("class_id"), F.col("best.rep").alias("class_row"), F.lit(True).alias("classed")), "classes")
+    discard(buckets, pairs, sets)
     counts = counts.groupBy("rep").agg(F.sum("n").alias("n_links"))
-    known = reps.drop("bands", "sketch").join(classes.select(F.col("id").alias("rep"), F.col("label").alias("class_id")), "rep", "left").join(counts, "rep", "left")
-    out = marked.drop("bands", "sketch").join(known, "set_hash", "left")
-    return out.select(
-        F.col("id").alias("doc_id"), F.coalesce("rep", "id").alias("rep_id"), F.coalesce("class_id", "rep", "id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_grams")
+    known = reps.select("set_hash", "rep", F.col("id").alias("rep_id"), "n_copies").join(classes, "rep", "left").join(counts, "rep", "left")
+    out = marked.select("row", "id", "set_hash", "n_grams").join(known, "set_hash", "left")
+    alone = F.col("rep").isNull()
+    shown = [F.col("id").alias("doc_id"), F.when(alone, F.col("id")).otherwise(F.col("rep_id")).alias("rep_id"), F.when(alone, F.col("id")).when(F.col("classed"), F.col("class_id")).otherwise(F.col("rep_id")).alias("class_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_grams"]
+    return out.select(*([F.col("row").alias(row_col), F.coalesce("class_row", "rep", "row").alias("class_row")] if row_col else []), *shown)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stay when each class keeps the one with the smallest doc_id; columns as given."""
-    joined = ngram_join(docs, **options)
-    gone = joined.where(F.col("doc_id") != F.col("class_id")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    """The rows that stay when each class keeps the first by id (null ids last); columns as given.
+
+    Of repeated rows one stays; null texts and texts without a word all stay. The rows are written
+    once with a number, which tells them apart.
+    """
+    number = "row_number"
+    while number in docs.columns:
+        number += "_"
+    numbered = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    gone = ngram_join(numbered, row_col=number, **options).where(F.col(number) != F.col("class_row")).select(number)
+    return numbered.join(gone, number, "left_anti").select(docs.columns)
 
 
 __all__ = ["choose_bands", "keep_one", "ngram_join"]

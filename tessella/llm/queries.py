@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, language_id, licenses, media, ngram_join, packing, quality, secrets, token_counts, toxicity
-from .runtime import crc_mod, table
+from .runtime import folds, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -30,8 +30,8 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = language_id.language_id(docs, crc_mod("doc_id", 4) != 2)
-    return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+    out = language_id.language_id(docs, ~folds("doc_id", 4, 2))
+    return out.select("doc_id", folds("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +48,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    out = toxicity.score(docs, toxicity.fit(docs, labels.where(crc_mod("doc_id", 5) != 0)))
-    return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    out = toxicity.score(docs, toxicity.fit(docs, labels.where(~folds("doc_id", 5, 0))))
+    return out.select("doc_id", folds("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +62,8 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    out = quality.score(docs, quality.fit(docs, labels.where(crc_mod("doc_id", 5) != 0)))
-    return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    out = quality.score(docs, quality.fit(docs, labels.where(~folds("doc_id", 5, 0))))
+    return out.select("doc_id", folds("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_join, op3_media, op4_language, op5_licenses, op6_token_counts, op7_toxicity, op8_packing, op9_secrets, op10_quality)}

@@ -3,38 +3,22 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
+from ..scratch import discard, materialize, scratch_dir
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the session: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessella_")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once as Parquet in the shared folder and reads it back: lineage ends there, and a
-    lost executor costs nothing that was written. (checkpoint() would run the last stage twice.)"""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+BATCH = 8 << 20  # bytes of an Arrow batch to a Python worker; a single row may be longer
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package when the driver found it by sys.path alone."""
+    """Lets Python workers import this package when the driver found it by sys.path alone, and bounds the batches that they get."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
@@ -50,7 +34,15 @@ def crc_mod(col: str, n: int):
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
 
 
+def folds(col: str, n: int, held_out: int):
+    """Whether a row is held out: the crc32 of its id is that remainder modulo n. A null id is not."""
+    return F.coalesce(crc_mod(col, n) == held_out, F.lit(False))
+
+
 def hash_fraction(col: str, n: int, of: int):
     """True for about n of `of` rows, chosen by a hash of col: the same rows in every run and plan."""
     share = Fraction(1) if of <= n else Fraction(n, of)
     return F.pmod(F.xxhash64(F.col(col), F.lit("sample")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+
+
+__all__ = ["crc_mod", "discard", "folds", "hash_fraction", "materialize", "scratch_dir", "ship", "table"]
