@@ -103,17 +103,19 @@ def id_filter(ids: DataFrame, col: str) -> dict[int, bytes]:
     return {r.page: bytes(r.bits) for r in pages.collect()}
 
 
-def passes(ids: np.ndarray, pages: dict[int, bytes]) -> np.ndarray:
-    at = ids % BITS
-    out = np.zeros(len(ids), dtype=bool)
-    for page in np.unique(at // PAGE):
-        mine = np.flatnonzero(at // PAGE == page)
-        if int(page) in pages:
-            bits = np.unpackbits(np.frombuffer(pages[int(page)], dtype=np.uint8), bitorder="little")
-            out[mine] = bits[at[mine] % PAGE] == 1
+def all_bits(pages: dict[int, bytes]) -> np.ndarray:
+    """The filter as BITS / 8 bytes."""
+    out = np.zeros(BITS // 8, dtype=np.uint8)
+    for page, bits in pages.items():
+        out[page * PAGE // 8 : (page + 1) * PAGE // 8] = np.frombuffer(bits, dtype=np.uint8)[: PAGE // 8]
     return out
 
 
+def passes(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = ids % BITS
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def gram_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """docs(id, text), wanted(rep, set_hash, id) -> (rep, grams): the sorted distinct n-gram hashes, 8 bytes each, of the wanted sets.
 
@@ -123,9 +125,10 @@ def gram_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     pages = docs.sparkSession.sparkContext.broadcast(id_filter(wanted.where("id is not null"), "id"))
 
     def run(it):
+        bits = all_bits(pages.value)
         for batch in bounded(it, 1):
             ids = pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            at = pa.array(np.flatnonzero(passes(ids, pages.value) | batch.column(0).is_null().to_numpy(zero_copy_only=False)))
+            at = pa.array(np.flatnonzero(passes(ids, bits) | batch.column(0).is_null().to_numpy(zero_copy_only=False)))
             for lo, hi, data, offs in slices(lowered(batch.column(1).take(at))):
                 grams, bounds = shingles(Words(data, offs), n)
                 sets = [np.unique(grams[bounds[d] : bounds[d + 1]]) for d in range(hi - lo)]

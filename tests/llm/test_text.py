@@ -125,12 +125,57 @@ def test_toxic_rows_go_and_the_rest_stays_as_it_is(spark):
     assert kept.schema == docs.schema and {r.doc_id for r in kept.collect()} == low
 
 
-def test_disguised_words_are_restored():
-    text = "horrible idiot people are terrible and horrible idiots stay terrible people " * 50
+def language():
+    text = "horrible idiot people are terrible and you stupid ass idiots stay horrible. a well known idiot and the people of it. " * 50
     k = toxicity.CLASS[np.frombuffer(text.encode(), dtype=np.uint8)]
     counts = np.bincount((k[:-2] * toxicity.KINDS + k[1:-1]) * toxicity.KINDS + k[2:], minlength=toxicity.KINDS**3)
-    lm = toxicity.language_model(counts)
-    assert [toxicity.restore(x, lm) for x in ("1d10t", "h0rr1bl3", "i d i o t", "terrrrible")] == ["idiot", "horrible", "idiot", "terrible"]
+    return toxicity.language_model(counts)
+
+
+def test_disguised_words_are_restored_in_whole_texts():
+    import pyarrow as pa
+
+    lm, want = language(), {"idiot": ["1d10t", "idi0+", "i d i 0 t", "1 d 1 0 t", "i  d  i  o  t", "i\nd\ni\no\nt", "i.d.i.o.t", "іdіоt", "iiidioot", "id-iot"], "horrible": ["h0rr1bl3", "horrrrrible", "h o r r i b l e"], "stupid": ["$tup1d", "st-up-id", "stu.pid", "5tupid"], "ass": ["a$$", "@ss"]}
+    for word, disguises in want.items():
+        for x in disguises:
+            text = f"you people are {x} and the people stay"
+            assert word in re.findall("[a-z]+", toxicity.restored(pa.array([text]), lm, {})[0].as_py()), x
+    clean = "you people are horrible! and the people stay terrible."
+    assert toxicity.restored(pa.array([clean]), lm, {})[0].as_py() == clean
+    assert re.findall("[a-z]+", toxicity.restored(pa.array(["y o u i d i o t"]), lm, {})[0].as_py())[:2] == ["you", "idiot"]
+    long = "1d10t" * 4000 + " " + "a-" * 5000 + "b"
+    assert "idiotidiot" in toxicity.restored(pa.array([long]), lm, {})[0].as_py()
+
+
+def test_the_cheap_look_misses_no_disguise():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    for _ in range(3000):
+        text = "".join(rng.choice(list("ab1!$ .-\néжі\u3000"), rng.integers(1, 9)))
+        hints, foreign = toxicity.disguised(pa.array([text]))
+        assert hints[0] or foreign[0] or not toxicity.SUSPECT.search(text), text
+        assert foreign[0] or toxicity.MIXED.sub(toxicity.latin, text) == text
+
+
+def test_viterbi_equals_trying_every_path():
+    import itertools
+
+    lm = language()
+    for token in ("1d10t", "a$$", "i d i", "st-up", "ooo", "@!1"):
+        arcs = toxicity.lattice(token)
+        best = []
+        for path in itertools.product(*arcs):
+            a = b = toxicity.BORDER
+            score = 0.0
+            for _, k, cost in path:
+                score -= cost
+                if k >= 0:
+                    score += lm[a, b, k]
+                    a, b = b, k
+            best.append((-score - lm[a, b, toxicity.BORDER], "".join(x for x, _, _ in path)))
+        low = min(best)[0]
+        assert toxicity.decode(arcs, lm.tolist()) in {t for s, t in best if s <= low + 1e-9}
 
 
 def test_packing_is_an_exact_round_trip(spark):
