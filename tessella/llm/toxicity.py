@@ -1,9 +1,10 @@
 """Operator 7, toxicity after noisy-channel deobfuscation.
 
-A character trigram model is counted over all texts. Runs of text that look disguised (digits or
-signs between letters, letters spaced out, letters repeated) become lattices of the letters that they
-may stand for, and a Viterbi search takes the reading that model and channel prefer; all other text
-reads as it stands. Words and word beginnings of the restored text that are more frequent in toxic
+A character trigram model is counted over all texts. Chunks that may be disguised (signs or digits
+beside letters, separators between letters, letters repeated, look-alike letters of other scripts)
+and runs of characters that stand apart become lattices: a sign reads as itself or as the letters it
+may stand for, a separator as itself or as nothing, a repeat as itself or as nothing. A Viterbi search
+takes the reading that model and channel prefer; all other text has one reading. Words and word beginnings of the restored text that are more frequent in toxic
 than in other labelled texts carry log-odds; a logistic model of their strongest values scores a text.
 """
 
@@ -16,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import U, Words, blocks_of, bounded, collect_vector, lowered, slices
-from .runtime import hash_fraction, materialize, ship
+from .kernel import U, Words, blocks_of, bounded, collect_vector, lowered, plain, slices
+from .runtime import discard, hash_fraction, materialize, ship
 
 # Classes of characters: a-z, a border, other letters, all else.
 BORDER, OTHER, ELSE, KINDS = 26, 27, 28, 29
@@ -27,7 +28,17 @@ CLASS[[9, 10, 13, 32]] = BORDER
 CLASS[128:] = OTHER
 # What a sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
-SUSPECT = re.compile(r"(?<![^\W_])[^\W\d_]{1,12}(?:[0-9@$!|+]{1,3}[^\W\d_]{1,12}){1,4}(?![^\W_])|(?<![^\W_])[^\W\d_]{0,12}[0-9@$!|+]{1,2}[^\W\d_]{2,12}(?![^\W_])|(?<![^\W_])[^\W\d_](?:[ ._*-][^\W\d_]){3,19}(?![^\W_])|[^\W_]{0,20}([^\W\d_])\1\1[^\W_]{0,20}", re.I)
+# Cyrillic and Greek letters that look like Latin ones.
+ALIKE = str.maketrans("аеорсухіјѕԁһкмтвнαοερτυνικ", "aeopcyxijsdhkmtbnaoeptuvik")
+APART = " ._*-"
+_SIGN, _GAP = r"0-9@$!|+", r"\s._*\-"
+# A run of three or more characters that stand apart, or a chunk with a letter beside a sign (but for
+# exclamation marks that end it), beside a separator and another letter, or three times in a row.
+SUSPECT = re.compile(
+    rf"(?<![^{_GAP}])(?:[^\W_]|[{_SIGN}])(?:[{_GAP}]+(?:[^\W_]|[{_SIGN}])(?![^{_GAP}])){{2,}}"
+    rf"|(?<!\S)(?=\S*?(?:[^\W\d_](?!!+(?!\S))[{_SIGN}]|[{_SIGN}][^\W\d_]|[^\W\d_][._*\-]+[^\W\d_]|([^\W\d_])\1\1))\S+"
+)
+MIXED = re.compile(r"[^\W\d_]+")
 SUBSTITUTE, DROP, JOIN = 1.5, 0.7, 0.3  # costs in the channel, in nats
 FEATURE_PREFIXES = (4, 5, 6)
 KEYS = np.array([3, 7, 11, 13], dtype=U)
@@ -63,79 +74,121 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return np.log((three + 20 * p2) / (three.sum(2, keepdims=True) + 20))
 
 
-def restore(token: str, lm: np.ndarray) -> str:
-    """The likeliest reading of a disguised run, by Viterbi search over pairs of letters."""
-    token = token.lower()
-    spaced = len(token) > 4 and all(c in " ._*-" for c in token[1::2])
-    chars = token[::2] if spaced else token
-    states = {(BORDER, BORDER): (-JOIN * spaced * len(chars), "")}
-    for i, c in enumerate(chars):
-        if c.isalpha():
-            options = [(c, 0.0)]
-        else:
-            options = [(x, SUBSTITUTE) for x in LEET.get(c, "")] or [(c, 0.0)]
+def kind(c: str) -> int:
+    return ord(c) - 97 if "a" <= c <= "z" else BORDER if c.isspace() else OTHER if c.isalpha() else ELSE
+
+
+def lattice(token: str) -> list[list[tuple[str, int, float]]]:
+    """For each character its arcs: (what it reads as, class of that or -1 for nothing, cost)."""
+    out = []
+    for i, c in enumerate(token):
+        arcs = [(c, kind(c), 0.0)]
+        arcs += [(x, kind(x), SUBSTITUTE) for x in LEET.get(c, "")]
+        if c in APART and 0 < i < len(token) - 1:
+            arcs.append(("", -1, JOIN))
+        elif i and c == token[i - 1] and (c.isalpha() or c in LEET):
+            arcs.append(("", -1, DROP))
+        out.append(arcs)
+    return out
+
+
+def decode(arcs: list[list[tuple[str, int, float]]], lm: np.ndarray) -> str:
+    """The likeliest path through a lattice, by Viterbi search over pairs of classes; of equal paths the first by text."""
+    states = {(BORDER, BORDER): (0.0, "")}
+    for options in arcs:
         new: dict = {}
         for (a, b), (score, text) in states.items():
-            for x, cost in options:
-                k = ord(x) - 97 if "a" <= x <= "z" else OTHER if x.isalpha() else ELSE
-                s = score - cost + lm[a, b, k]
-                at = (b, k)
+            for x, k, cost in options:
+                at, s = ((b, k), score - cost + lm[a][b][k]) if k >= 0 else ((a, b), score - cost)
                 if at not in new or s > new[at][0] or (s == new[at][0] and text + x < new[at][1]):
                     new[at] = s, text + x
-            # A repeated letter may be noise: it then adds nothing.
-            if i and c == chars[i - 1] and (s := score - DROP) > new.get((a, b), (-1e99,))[0]:
-                new[a, b] = s, text
         states = new
-    return max((score + lm[a, b, BORDER], text) for (a, b), (score, text) in states.items())[1]
+    return min((-(score + lm[a][b][BORDER]), text) for (a, b), (score, text) in states.items())[1]
+
+
+def restore(token: str, lm) -> str:
+    """The reading of a disguised run; where it joins what separators part, followed by the run as it stands."""
+    token = re.sub(r"\s+", " ", token.lower())
+    text = decode(lattice(token), lm)
+    parts = re.sub(rf"[{_GAP}]+", " ", token)
+    return f"{text} {parts}" if len(re.findall(rf"[{_GAP}]", text)) < len(re.findall(rf"[{_GAP}]", token)) else text
+
+
+def latin(m) -> str:
+    word = m.group(0)
+    return word.translate(ALIKE) if any("a" <= c <= "z" for c in word) else word
 
 
 def restored(texts: pa.Array, lm: np.ndarray, memory: dict) -> pa.Array:
-    """Texts with each disguised run replaced by its reading."""
+    """Lower-case texts with each disguised run replaced by its reading."""
+    hints, foreign = disguised(texts)
+    if not (hints | foreign).any():
+        return texts
+    table = memory.get(None)
+    if table is None:
+        table = memory[None] = lm.tolist()
 
     def read(m):
         token = m.group(0)
         if token not in memory:
             if len(memory) > 200_000:
                 memory.clear()
-            memory[token] = restore(token, lm)
+                memory[None] = table
+            memory[token] = restore(token, table)
         return memory[token]
 
-    out, changed = texts.to_pylist(), False
-    hints = disguised(texts)
-    for d in np.flatnonzero(hints):
+    out = texts.to_pylist()
+    for d in np.flatnonzero(foreign):
+        out[d] = MIXED.sub(latin, out[d])
+    for d in np.flatnonzero(hints | foreign):
         out[d] = SUSPECT.sub(read, out[d])
-        changed = True
-    return pa.array(out, pa.string()) if changed else texts
+    return pa.array(out, pa.string())
 
 
-def disguised(texts: pa.Array) -> np.ndarray:
-    """Whether a text may hold a disguised run: a cheap look at its bytes, which misses none."""
-    out = np.zeros(len(texts), dtype=bool)
+def disguised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a lower-case text may hold a disguised run, and whether Latin letters stand beside Greek
+    or Cyrillic ones: a cheap look at its bytes, which misses none."""
+    out, foreign = np.zeros(len(texts), dtype=bool), np.zeros(len(texts), dtype=bool)
     for lo, hi, data, offs in slices(texts):
+        data = np.concatenate([data, np.full(3, 32, dtype=np.uint8)])  # the look ahead ends in spaces
         n = len(data)
-        if n < 3:
-            continue
-        letter = ((data >= 97) & (data <= 122)) | (data >= 128)
-        sign = np.isin(data, np.frombuffer("".join(LEET).encode(), dtype=np.uint8))
-        gap = np.isin(data, np.frombuffer(b" ._*-", dtype=np.uint8))
+        plain = (data >= 97) & (data <= 122)
+        letter = plain | (data >= 128)
+        sign = np.isin(data, np.frombuffer(b"0123456789@$!|+", dtype=np.uint8))
+        gap = np.isin(data, np.frombuffer(b"._*-", dtype=np.uint8))
         hit = np.zeros(n, dtype=bool)
         hit[:-1] |= sign[:-1] & letter[1:]
+        # A letter and a sign; exclamation marks count where they do not end the chunk.
+        hit[:-1] |= letter[:-1] & sign[1:] & (data[1:] != 33)
+        hit[:-2] |= letter[:-2] & (data[1:-1] == 33) & (data[2:] > 32)
+        hit[:-2] |= letter[:-2] & gap[1:-1] & (letter[2:] | gap[2:])
         hit[:-2] |= letter[:-2] & (data[:-2] == data[1:-1]) & (data[1:-1] == data[2:])
-        hit |= data >= 128 if (data >= 240).any() else False
-        multi = np.zeros(n, dtype=bool)
-        # Three repeats of a two-byte letter.
-        if n > 5:
-            multi[: n - 5] = (data[: n - 5] >= 192) & (data[: n - 5] == data[2 : n - 3]) & (data[2 : n - 3] == data[4 : n - 1]) & (data[1 : n - 4] == data[3 : n - 2]) & (data[3 : n - 2] == data[5:])
-        start = (data < 128) | (data >= 192)
-        chars = np.flatnonzero(start)
-        single, between = letter[chars], gap[chars]
-        if len(chars) > 6:
-            m = len(chars) - 6
-            run = single[:m] & between[1 : m + 1] & single[2 : m + 2] & between[3 : m + 3] & single[4 : m + 4] & between[5 : m + 5] & single[6 : m + 6]
-            hit[chars[:m][run]] = True
-        at = np.flatnonzero(hit | multi)
-        out[lo + np.unique(np.searchsorted(offs, at, side="right") - 1)] = True
-    return out
+        # Three repeats of a letter of two or more bytes.
+        for width in (2, 3, 4):
+            m = n - 3 * width + 1
+            if m > 0:
+                same = data[:m] >= 192
+                for k in range(width):
+                    same &= (data[k : k + m] == data[k + width : k + width + m]) & (data[k : k + m] == data[k + 2 * width : k + 2 * width + m])
+                hit[:m] |= same
+        # Three characters in a row that stand apart.
+        parted = gap | (data <= 32) | (data >= 194)  # wide white space is taken for a gap, too
+        begins = np.flatnonzero(~parted & np.r_[True, parted[:-1]])
+        ends = np.flatnonzero(~parted & np.r_[parted[1:], True])
+        short = (ends - begins) <= 3
+        runs = np.flatnonzero(short[:-2] & short[1:-1] & short[2:])
+        one = (ends - begins) == 0
+        runs = runs[one[runs] & one[runs + 1] & one[runs + 2]] if not (data >= 128).any() else runs
+        hit[begins[runs]] = True
+        out[lo + np.unique(np.searchsorted(offs, np.flatnonzero(hit[:-3]), side="right") - 1)] = True
+        strange = (data >= 0xCE) & (data <= 0xD4)
+        other = plain | ((data >= 0xC3) & ~strange)  # a Latin letter, or the first byte of a letter of neither script
+        beside = np.zeros(n, dtype=bool)
+        for back in (1, 2, 3, 4):
+            beside[back:] |= strange[back:] & other[:-back]
+        beside[:-2] |= strange[:-2] & other[2:]
+        foreign[lo + np.unique(np.searchsorted(offs, np.flatnonzero(beside[:-3]), side="right") - 1)] = True
+    return out, foreign
 
 
 def features(text: pa.Array):
@@ -220,37 +273,44 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int =
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labels: int = 20_000, max_features: int = 20_000, least: int = 4) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labels: int = 20_000, least: int = 4) -> dict:
     """Trigram model over all of docs; lexicon and logistic model on about max_labels labelled rows.
 
     labels(id, label 0/1) are the rows to learn from; rows with a null are left out, of repeated ids
-    one counts. The sample of them is bounded, so it may be broadcast to the texts.
+    one counts. The sample of them is bounded, so it may be broadcast to the texts, and so is the
+    lexicon: the features of at least `least` toxic texts. Further columns are ignored; empty tables,
+    and labels of one kind only, give a model with one answer.
     """
     ship(docs.sparkSession)
     lm = language_model(trigram_counts(docs, text_col))
     labels = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
     n = labels.count()
     sample = labels.where(hash_fraction("id", max_labels, n))
-    known = materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id"), "toxic-sample")
+    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
 
-    def in_toxic(it):
+    def read(it):
         memory: dict = {}
         for batch in bounded(it, 0):
-            for _, _, keys, owner in features(restored(lowered(batch.column(0)), lm, memory)):
+            yield pa.RecordBatch.from_arrays([restored(lowered(batch.column(0)), lm, memory), batch.column(1), batch.column(2)], ["text", "label", "id"])
+
+    known = materialize(chosen.select("text", "label", "id").mapInArrow(read, "text string, label int, id long"), "toxic-sample")
+
+    def in_toxic(it):
+        for batch in bounded(it, 0):
+            for _, _, keys, owner in features(plain(batch.column(0))):
                 keys, count = np.unique(distinct(keys, owner)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(count, pa.int64())], ["key", "n"])
 
-    candidates = known.where("label = 1").select("text").mapInArrow(in_toxic, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "key").limit(max_features).collect()
-    keys = np.sort(np.array([r.key for r in candidates], dtype=np.int64).view(U))
+    candidates = known.where("label = 1").select("text").mapInArrow(in_toxic, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key").toPandas()
+    keys = np.sort(candidates.key.to_numpy(dtype=np.int64).view(U))
     blank = Lexicon(keys, np.zeros(len(keys)), np.zeros(len(keys)), 0, 0)
 
     def count(it):
-        memory: dict = {}
         total = np.zeros((2, len(keys) + 1), dtype=np.int64)
         for batch in bounded(it, 0):
             label = batch.column(1).to_numpy().astype(np.int64)
             total[:, -1] += np.bincount(label, minlength=2)
-            for lo, _, words, owner in features(restored(lowered(batch.column(0)), lm, memory)):
+            for lo, _, words, owner in features(plain(batch.column(0))):
                 which, at = blank.find(words)
                 at, doc = distinct(at.astype(U), owner[which])
                 for y in (0, 1):
@@ -261,14 +321,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lexicon = Lexicon(keys, toxic[:-1], clean[:-1], int(toxic[-1]), int(clean[-1]))
 
     def describe(it):
-        memory: dict = {}
         for batch in bounded(it, 0):
             label = batch.column(1).to_numpy()
-            x = summaries(restored(lowered(batch.column(0)), lm, memory), lexicon, label)
+            x = summaries(plain(batch.column(0)), lexicon, label)
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(label, pa.int32()), *(pa.array(x[:, j]) for j in range(6))], ["id", "label", *(f"x{j}" for j in range(6))])
 
-    rows = known.select("text", "label", "id").mapInArrow(describe, "id long, label int, x0 double, x1 double, x2 double, x3 double, x4 double, x5 double").orderBy("id").toPandas()
+    rows = known.select("text", "label", "id").mapInArrow(describe, "id long, label int, x0 double, x1 double, x2 double, x3 double, x4 double, x5 double").toPandas().sort_values("id", kind="stable")
     weights = logistic(rows.iloc[:, 2:].to_numpy(), rows.label.to_numpy()) if rows.label.nunique() > 1 else np.r_[np.zeros(6), 10.0 if len(rows) and rows.label.iloc[0] else -10.0]
+    discard(known)
     return {"lm": lm, "lexicon": lexicon, "weights": weights}
 
 
@@ -279,7 +339,10 @@ def probability(text: pa.Array, model: dict) -> np.ndarray:
 
 
 def clean_rows(docs: DataFrame, model: dict, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose score is below threshold, all columns as given: one pass without a shuffle."""
+    """The rows of docs whose score is below threshold, all columns as given: one pass without a shuffle.
+
+    A null text scores as an empty one; null ids, repeated rows and further columns stay as they are.
+    """
     names = docs.columns
 
     def run(it):
@@ -294,7 +357,12 @@ def clean_rows(docs: DataFrame, model: dict, threshold: float = 0.5, text_col: s
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of every whole text; a null text scores as an empty one. Repeated ids give a row each."""
+    """(doc_id, score) of every whole text; a null text scores as an empty one.
+
+    Repeated ids give a row each and a null id stays null; further columns are ignored; an empty table
+    gives no rows.
+    """
+
     def run(it):
         memory: dict = {}
         for batch in bounded(it, 1):
