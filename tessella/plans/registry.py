@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import graphs, matching, records, reviews, scoring, understanding  # noqa: E402, F401
+from . import graphs, matching, records, resources, reviews, scoring, understanding  # noqa: E402, F401
