@@ -30,9 +30,9 @@ def inverted_index(df: DataFrame, key: Column, value: Column) -> DataFrame:
 
 
 def alias_index(df: DataFrame, code: str, aliases: Column) -> DataFrame:
-    """(alias, codes): upper-case aliases with their sorted codes; a code is no alias of itself."""
+    """(alias, code) once each: upper-case aliases of codes; a code is no alias of itself."""
     rows = df.select(F.col(code).alias("code"), F.explode(aliases).alias("alias")).select("code", F.upper(F.trim("alias")).alias("alias")).where("alias <> '' and alias <> upper(code)")
-    return rows.groupBy("alias").agg(F.sort_array(F.collect_set("code")).alias("codes"))
+    return rows.select("alias", "code").distinct()
 
 
 def nested_histogram(df: DataFrame, outer: str, inner: str, fallback: str = "other") -> DataFrame:

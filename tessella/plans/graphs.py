@@ -33,24 +33,31 @@ def bfs_depth(spark, d):
     return graph.layers(tree(spark, d), spark.createDataFrame([("r1",)], "id string"), 2)
 
 
-@query("select 's1' as id, ['c1', 'n' || c_nationkey, 'n' || s_nationkey, 's1'] as path from customer, supplier where false")
+@query("select count(*) as n from (select c_nationkey as n, n_regionkey as r from customer join nation on n_nationkey = c_nationkey where c_custkey = 1) c, (select s_nationkey as n, n_regionkey as r from supplier join nation on n_nationkey = s_nationkey where s_suppkey = 1) s where c.r = s.r")
 def shortest_path_none(spark, d):
-    """No path, no row."""
-    return graph.shortest_path(tree(spark, d), "r0", "no such node", 3)
+    """How many paths there are between two nodes of a forest: none where their trees differ."""
+    return graph.shortest_path(tree(spark, d), "c1", "s1").agg(F.count("*").alias("n"))
 
 
-@query(f"with recursive e as (select a, b from {TREE} union all select b, a from {TREE}), p(id, path) as (select 'c1', ['c1'] union all select e.b, list_append(path, e.b) from p join e on e.a = p.id where len(path) < 6 and not list_contains(path, e.b) and e.b[1] in ('n', 'r') or (e.a = p.id and e.b = 's1' and len(path) < 6)) select id, min_by(path, (len(path), path)) as path from p where id = 's1' group by 1")
+def _world(spark, d):
+    """The tree under one root w."""
+    e = tree(spark, d)
+    return e.unionByName(e.where("a like 'r%'").select(F.lit("w").alias("a"), F.col("a").alias("b")).distinct())
+
+
+@query("select 's1' as id, case when c.n = s.n then ['c1', 'n' || c.n, 's1'] when c.r = s.r then ['c1', 'n' || c.n, 'r' || c.r, 'n' || s.n, 's1'] else ['c1', 'n' || c.n, 'r' || c.r, 'w', 'r' || s.r, 'n' || s.n, 's1'] end as path from (select c_nationkey as n, n_regionkey as r from customer join nation on n_nationkey = c_nationkey where c_custkey = 1) c, (select s_nationkey as n, n_regionkey as r from supplier join nation on n_nationkey = s_nationkey where s_suppkey = 1) s")
 def shortest_path(spark, d):
     """The shortest path, of equal ones the first."""
-    return graph.shortest_path(tree(spark, d), "c1", "s1", 8)
+    return graph.shortest_path(_world(spark, d), "c1", "s1")
+
+
+IDS = "(select n_regionkey as r, 'r' || n_regionkey as id from nation union select n_regionkey, 'n' || n_nationkey from nation union select n_regionkey, 'c' || c_custkey from customer join nation on n_nationkey = c_nationkey union select n_regionkey, 's' || s_suppkey from supplier join nation on n_nationkey = s_nationkey)"
 
 
-@query(f"select 'c1' as a, 1 as b where false union all select label, cast(count(*) as integer) from (select (select min(least(a, b)) from {TREE}) as label, a as id from {TREE} union select (select min(least(a, b)) from {TREE}), b from {TREE}) group by 1")
+@query(f"select min(id) as a, cast(count(*) as integer) as b from {IDS} group by r")
 def components(spark, d):
-    """Components; with r0 to r4 unconnected there are five, joined here through a hub."""
-    e = tree(spark, d)
-    hub = spark.createDataFrame([("r0", f"r{i}") for i in range(1, 5)], "a string, b string")
-    return graph.components(e.unionByName(hub)).groupBy(F.col("label").alias("a")).agg(F.count("*").cast("int").alias("b"))
+    """The components of a forest, by their smallest id, with their sizes."""
+    return graph.components(tree(spark, d)).groupBy(F.col("label").alias("a")).agg(F.count("*").cast("int").alias("b"))
 
 
 @query("select case when n_regionkey = 0 then 'r0' else 'r' || n_regionkey end as region, count(*) as n from nation group by 1")
@@ -61,17 +68,18 @@ def component_sizes(spark, d):
     return c.groupBy(F.col("label").alias("region")).agg((F.count("*") - 1).alias("n"))
 
 
-@query("select a, b from (values (1, 1)) v(a, b) where false")
+@query("select 'r' || n_regionkey as a, 'n' || n_nationkey as b from supplier join nation on n_nationkey = s_nationkey where s_suppkey = 1 union all select 'n' || s_nationkey, 's1' from supplier where s_suppkey = 1 union all select 's1', 'r' || n_regionkey from supplier join nation on n_nationkey = s_nationkey where s_suppkey = 1")
 def cycle_check(spark, d):
-    """A tree has no cycle."""
-    return graph.on_cycles(tree(spark, d)).select(F.length("a").alias("a"), F.length("b").alias("b"))
+    """The cycle that one edge back to its root makes of a tree."""
+    e = tree(spark, d)
+    up = e.where("b = 's1'").select(F.col("a").alias("b")).join(e, "b").select(F.lit("s1").alias("a"), F.col("a").alias("b"))
+    return graph.on_cycles(e.unionByName(up))
 
 
-@query("with recursive e as (select distinct l_partkey % 12 as a, (l_partkey % 12 + 1 + l_suppkey % 2) % 12 as b from lineitem), w(s, x) as (select a, b from e union select s, e.b from w join e on e.a = w.x) select distinct e.a, e.b from e where exists (select 1 from w where w.s = e.b and w.x = e.a) or (exists (select 1 from w where w.s = w.x and (w.s = e.a or exists (select 1 from w v where v.s = w.s and v.x = e.a))) and exists (select 1 from w where w.s = w.x and (w.s = e.b or exists (select 1 from w v where v.s = e.b and v.x = w.s))))")
+@query("with recursive e as (select distinct l_partkey as a, l_suppkey as b from lineitem where l_partkey in (select l_suppkey from lineitem)), w(s, x) as (select a, b from e union select s, e.b from w join e on e.a = w.x) select distinct e.a, e.b from e where exists (select 1 from w where w.s = e.b and w.x = e.a) or (exists (select 1 from w where w.s = w.x and (w.s = e.a or exists (select 1 from w v where v.s = w.s and v.x = e.a))) and exists (select 1 from w where w.s = w.x and (w.s = e.b or exists (select 1 from w v where v.s = e.b and v.x = w.s))))")
 def cycle_edges(spark, d):
     """Edges on or between cycles."""
-    e = table(spark, d, "lineitem").select((F.col("l_partkey") % 12).alias("a"), ((F.col("l_partkey") % 12 + 1 + F.col("l_suppkey") % 2) % 12).alias("b")).distinct()
-    return graph.on_cycles(e)
+    return graph.on_cycles(table(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")))
 
 
 @query(f"with s as (select 'r1' as id, 0 as depth union all select b, 1 from {TREE} where a = 'r1' union all select e2.b, 2 from {TREE} e1 join {TREE} e2 on e2.a = e1.b where e1.a = 'r1') select id, depth, (select greatest(count(*) - 12, 0) from s) as hidden from s order by depth, id limit 12")
@@ -101,10 +109,10 @@ def explicit_edges(spark, d):
     return a.join(b, "o_custkey").select("o_custkey", "a", "b", F.when((F.col("na") == 1) & (F.col("nb") == 1), "complete").otherwise("ambiguous").alias("state"))
 
 
-@query("select rule, cast(n as bigint) as n from (select 'unknown_end' as rule, count(distinct x) as n from (select l_partkey % 1000 as x from lineitem union select l_suppkey from lineitem) where x not in (select p_partkey from part where p_size > 5) union all select 'self_edge', count(*) from lineitem where l_partkey % 1000 = l_suppkey union all select 'repeated_edge', count(*) from (select l_partkey % 1000, l_suppkey from lineitem group by 1, 2 having count(*) > 1)) where n > 0")
+@query("select rule, cast(n as bigint) as n from (select 'unknown_end' as rule, count(distinct x) as n from (select l_partkey as x from lineitem union select l_suppkey from lineitem) where x not in (select p_partkey from part where p_size > 5) union all select 'self_edge', count(*) from lineitem where l_partkey = l_suppkey union all select 'repeated_edge', count(*) from (select l_partkey, l_suppkey from lineitem group by 1, 2 having count(*) > 1)) where n > 0")
 def graph_validation(spark, d):
     """Broken rules of a graph."""
-    e = table(spark, d, "lineitem").select((F.col("l_partkey") % 1000).alias("a"), F.col("l_suppkey").alias("b"))
+    e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
     return graph.validate(table(spark, d, "part").where("p_size > 5").select(F.col("p_partkey").alias("id")), e)
 
 
@@ -114,9 +122,15 @@ def trust_relations(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).agg(F.count("*").alias("evidence"), F.when(F.count_distinct("l_returnflag") > 1, 72).otherwise(52).alias("confidence"))
 
 
-@query()
+LINES = "(select conv_id, turn, trim(case when role = 'user' then 'Unit ' || (turn + 1) else 'goal:' end || ' ' || text) as line from conversations)"
+
+
+@query(
+    f"with l as (select conv_id, turn, nullif(trim(regexp_extract(line, '(?i)^(?:单元|Unit)\\s*([0-9一二三四五六七八九十]*)\\s*[.、:：-]?\\s*(.+)$', 2)), '') as title, nullif(trim(regexp_extract(line, '(?:学习目标|目标|goal)\\s*[:：]\\s*(.+)$', 1)), '') as goal from {LINES}),"
+    " u as (select *, sum(case when title is not null then 1 else 0 end) over (partition by conv_id order by turn) as unit_no from l) select conv_id, cast(unit_no as bigint) as unit_no, max(title) as title, coalesce(list(goal order by turn, goal) filter (goal is not null and title is null), []) as goals from u where unit_no > 0 group by 1, 2"
+)
 def plan_parse(spark, d):
-    """Plan lines to units with goals (rows only; unit tests hold the values)."""
+    """Plan lines to units with goals."""
     c = table(spark, d, "conversations").select("conv_id", "turn", F.concat_ws(" ", F.when(F.col("role") == "user", F.concat(F.lit("Unit "), (F.col("turn") + 1).cast("string"))).otherwise(F.lit("goal:")), "text").alias("line"))
     return planning.parse_units(c, "conv_id", "turn", "line")
 
@@ -133,11 +147,11 @@ def coverage(spark, d):
     return planning.coverage(li, planning.latest_decisions(li, ["plan", "unit", "code"], "decision", "decision"), ["plan", "unit", "code"], "code")
 
 
-@query("select s_suppkey as code from supplier where s_suppkey not in (select l_suppkey from lineitem where l_returnflag = 'R' and l_quantity > 49)")
+@query("select l_partkey || '-' || l_suppkey as code from lineitem group by l_partkey, l_suppkey having count(*) filter (l_returnflag = 'R') = 0")
 def gaps(spark, d):
-    """Codes of the scope that nothing covers."""
-    li = table(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity > 49").select(F.col("l_suppkey").alias("code"))
-    return planning.gaps(table(spark, d, "supplier").select(F.col("s_suppkey").alias("code")), li, "code")
+    """Codes of the scope that nothing accepted covers."""
+    li = table(spark, d, "lineitem").select(F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("code"), "l_returnflag")
+    return planning.gaps(li, li.where("l_returnflag = 'R'"), "code")
 
 
 @query("with u as (select l_orderkey as plan, count(*) as n from lineitem group by 1), p as (select plan, n, plan % 9 as weeks from u), w as (select plan, n, greatest(weeks, 1) as total, unnest(generate_series(1, greatest(weeks, 1))) as week from p) select plan, cast(week as integer) as week, case when week = 8 then 'exam' when week in (4, 8) then 'review' else 'teaching' end as type, case when week not in (4, 8) then cast(least(n - 1, ((week - 1) * n) // total) + 1 as integer) end as unit_no from w")

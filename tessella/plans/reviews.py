@@ -30,12 +30,13 @@ def repeated_keys(spark, d):
     return quality.repeated(table(spark, d, "customer"), "c_mktsegment")
 
 
-@query("select 'missing' as side, count(*) as n from (select l_suppkey, count(*) from lineitem group by 1 having count(*) < 0) union all select 'unexpected', count(*) from supplier where s_suppkey < 0")
+@query("with a as (select l_suppkey, count(*) as n from lineitem group by 1), b as (select l_suppkey, count(*) as n from lineitem join orders on o_orderkey = l_orderkey group by 1) select 'missing' as side, count(*) as n from (select * from a except all select * from b) union all select 'unexpected', count(*) from (select * from b except all select * from a)")
 def index_consistency(spark, d):
-    """Q2: an index recomputed and compared both ways."""
-    a = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"))
-    b = table(spark, d, "lineitem").select("l_suppkey", F.lit(1).alias("one")).groupBy("l_suppkey").agg(F.sum("one").alias("n"))
-    return quality.same_rows(a, b)
+    """Q2: an index recomputed and compared both ways with one built by way of the orders (which lacks lines without one)."""
+    li = table(spark, d, "lineitem")
+    built = li.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    count = lambda t: t.groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    return quality.same_rows(count(li), count(built))
 
 
 @query("select o_orderkey, list_filter(['open', 'large', 'old'], lambda r: (r = 'open' and o_orderstatus = 'O') or (r = 'large' and o_totalprice > 300000) or (r = 'old' and o_orderdate < timestamp '1993-01-01')) as risks, case when o_orderpriority = '1-URGENT' then 'P0' when o_totalprice > 300000 then 'P1' else 'P3' end as priority from orders where o_orderstatus = 'O' or o_totalprice > 300000 or o_orderdate < timestamp '1993-01-01'")
@@ -83,13 +84,14 @@ def mrr_recall_at_k(spark, d):
     return evaluate.ranking(r, "p_brand", "k", "good", 3)
 
 
-ROLLOUT = "select * from (values ('1', 'cls', 0.05), ('1', 'p75_lcp_ms', 2400), ('2', 'cls', 0.12), ('2', 'p75_inp_ms', 100), ('3', 'p75_inp_ms', 400), ('3', 'cls', 0.01), ('4', 'cls', null)) v(stage, metric, value)"
-
-
-@query("select * from (values ('1', 'advance'), ('2', 'hold'), ('3', 'rollback'), ('4', 'hold')) v(stage, decision)")
+@query(
+    "with m as (select user_id as stage, quantile_disc(value, 0.75) * 60 as lcp, count(*) filter (event_type = 'error')::double / count(*) as cls from events group by 1), r as (select stage, greatest(case when lcp is null then 1 when lcp > 3000 then 2 when lcp <= 2500 then 0 else 1 end, case when cls > 0.15 then 2 when cls <= 0.1 then 0 else 1 end) as s from m)"
+    " select stage::varchar as stage, ['advance', 'hold', 'rollback'][s + 1] as decision from r"
+)
 def rollout_gate(spark, d):
-    """Staged rollout decision."""
-    return evaluate.rollout(spark.sql(ROLLOUT))
+    """Staged rollout decisions from each stage's latency percentile and share of errors."""
+    m = table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("stage")).agg((F.expr("percentile_disc(0.75) within group (order by value)") * 60).alias("p75_lcp_ms"), (F.count_if(F.col("event_type") == "error") / F.count("*")).alias("cls"))
+    return evaluate.rollout(m.unpivot(["stage"], ["p75_lcp_ms", "cls"], "metric", "value"))
 
 
 @query("select event_id, place, place <= 2 as allowed, greatest(0, 2 - place) as remaining from (select event_id, row_number() over (partition by user_id, date_trunc('hour', ts) order by ts, event_id) as place from events)")
@@ -137,8 +139,6 @@ def session_windows(spark, d):
 @query("select time_bucket(interval '6 hours', ts) as start, event_type, count(*) as n, cast(sum(value::decimal(18, 4)) as double) as total from events group by 1, 2")
 def streaming_windows(spark, d):
     """S2 as a stream: the same windows by Structured Streaming, run to its end."""
-    import uuid
-
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
-    return metrics.run_stream(metrics.windowed(stream, "ts", "event_type", "value", "6 hours"), f"windows_{uuid.uuid4().hex}")
+    return metrics.run_stream(metrics.windowed(stream, "ts", "event_type", "value", "6 hours"), "windows")

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import facets, score, sequential, stats
 from .registry import query
 from .tables import STD, std, table
+from .understanding import tokens_sql
 
 TOK = "list_distinct(regexp_extract_all(lower(coalesce({c}, '')), '[a-z]{{3,}}'))"
 
@@ -43,23 +44,33 @@ def first_seen_ordinals(spark, d):
     return f.select("p_type", F.row_number().over(Window.orderBy("seen")).alias("ordinal"))
 
 
-@query()
+@query(
+    "with recursive r as (select p_brand, p_partkey, p_retailprice, [p_type, p_size::varchar] as tags, row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) as k from part),"
+    " s as (select distinct p_brand, 0::bigint as k, []::bigint[] as kept, []::varchar[] as used from part union all select s.p_brand, r.k, case when len(kept) < 3 and not list_has_any(used, tags) then list_append(kept, p_partkey) else kept end, case when len(kept) < 3 and not list_has_any(used, tags) then used || tags else used end from s join r on r.p_brand = s.p_brand and r.k = s.k + 1),"
+    " e as (select p_brand, arg_max(kept, k) as kept from s group by 1) select p_brand, p_partkey, p_retailprice, tags from r join e using (p_brand) where list_contains(kept, p_partkey)"
+)
 def diverse_topk(spark, d):
-    """Greedy choice of rows that share no tag with those before (rows only: it is sequential)."""
+    """Greedy choice of rows that share no tag with those before."""
     li = table(spark, d, "part").select("p_brand", "p_partkey", "p_retailprice", F.array("p_type", F.col("p_size").cast("string")).alias("tags"))
     return sequential.diverse_top(li, "p_brand", ["p_retailprice", "p_partkey"], [False, True], "tags", 3)
 
 
-@query()
+@query(
+    "with recursive t as (select p_brand as book, p_size as ordinal, p_partkey as page from part), s as (select book, 1 as o, min(page) as page from t where ordinal = 1 group by 1 union all select s.book, s.o + 1, (select min(t.page) from t where t.book = s.book and t.ordinal = s.o + 1 and t.page > s.page) from s where s.page is not null and s.o < 100)"
+    " select book, cast(max(o) as bigint) as length, arg_max(page, o) as last_page from s where page is not null group by 1 having max(o) >= 2"
+)
 def ordinal_chains(spark, d):
-    """The longest chain of rising ordinals (rows only: it is sequential)."""
+    """The longest chain of ordinals 1, 2, 3 ... on rising pages."""
     li = table(spark, d, "part").select(F.col("p_brand").alias("book"), F.col("p_size").alias("ordinal"), F.col("p_partkey").alias("page"))
-    return sequential.longest_chain(li, "book", "ordinal", "page", 6)
+    return sequential.longest_chain(li, "book", "ordinal", "page", 2)
 
 
-@query()
+@query(
+    "with recursive r as (select p_brand, p_partkey, p_size, row_number() over (partition by p_brand order by p_partkey) as k from part), s as (select distinct p_brand, 0::bigint as k, []::integer[] as used from part union all select s.p_brand, r.k, list_append(used, case when p_size >= 1 and not list_contains(used, p_size) then p_size else list_filter(generate_series(1, (len(used) + 1)::integer), lambda x: not list_contains(used, x::integer))[1]::integer end) from s join r on r.p_brand = s.p_brand and r.k = s.k + 1)"
+    " select r.p_brand, p_partkey, p_size, used[-1] as seq from s join r on r.p_brand = s.p_brand and r.k = s.k"
+)
 def sequence_allocation(spark, d):
-    """Preferred numbers where they are free (rows only: it is sequential)."""
+    """Preferred numbers where they are free, else the lowest free one."""
     return sequential.allocate(table(spark, d, "part").select("p_brand", "p_partkey", "p_size"), "p_brand", "p_partkey", "p_size")
 
 
@@ -173,9 +184,9 @@ def bigram_sets(spark, d):
     return table(spark, d, "part").select("p_partkey", F.size(g).alias("n"), F.sort_array(g).alias("grams")).where("n > 0")
 
 
-@query()
+@query(tokens_sql("(select conv_id, turn, text as q from conversations)", "conv_id, turn"))
 def topic_tokens(spark, d):
-    """Terms and pairs (rows only: first-seen order of lists; unit tests hold the values)."""
+    """Terms and pairs of longer texts."""
     return table(spark, d, "conversations").select("conv_id", "turn", T.topic_tokens(F.col("text")).alias("topic"), T.plan_tokens(F.col("text")).alias("plan"))
 
 

@@ -107,10 +107,15 @@ def query_core_terms(spark, d):
 PLAN_PAIRS = "list_transform(generate_series(1, length(h) - 1), lambda i: substr(h, i, 2))"
 
 
-@query(
-    f"with t as (select id, {sql_topic('q')} as w, {sql_terms('q', T.PLAN_STOP_WORDS)} as p, regexp_replace(lower(q), '[^一-鿿]', '', 'g') as h from {REQUEST}), u as (select *, p || {PLAN_PAIRS} as a from t)"
-    f" select id, {sql_first('w')}[1:80] as topic, {sql_first('a')}[1:160] as plan from u"
-)
+def tokens_sql(rows: str, key: str) -> str:
+    """Both token lists of rows(key, q)."""
+    return (
+        f"with t as (select {key}, {sql_topic('q')} as w, {sql_terms('q', T.PLAN_STOP_WORDS)} as p, regexp_replace(lower(q), '[^一-鿿]', '', 'g') as h from {rows}), u as (select *, p || {PLAN_PAIRS} as a from t)"
+        f" select {key}, {sql_first('w')}[1:80] as topic, {sql_first('a')}[1:160] as plan from u"
+    )
+
+
+@query(tokens_sql(REQUEST, "id"))
 def request_tokens(spark, d):
     """Terms with disjoint pairs, and terms with all pairs of the Han characters."""
     return requests(spark, d).select("id", T.topic_tokens(F.col("q")).alias("topic"), T.plan_tokens(F.col("q")).alias("plan"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import scratch_dir
+
 
 def rollup(events: DataFrame, dims: list[str], value: str) -> DataFrame:
     """(dim, key, n, total, most): counts, sums and maxima by each dimension and over all, in one pass. Sums are of cents."""
@@ -46,8 +50,15 @@ def sessions(events: DataFrame, ts: str, key: str, gap: str) -> DataFrame:
     return events.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), "n")
 
 
-def run_stream(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a bounded stream to its end and returns what it holds."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_stream(stream: DataFrame, name: str) -> DataFrame:
+    """Runs a bounded stream to its end and returns what it then holds: each batch is written as Parquet, the last one read."""
+    base, last = f"{scratch_dir(stream.sparkSession)}/streams/{name}-{uuid.uuid4().hex}", []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/batch-{number}")
+        last[:] = [number]
+
+    stream.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    if not last:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/batch-{last[0]}")
