@@ -4,26 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 
 class Memory:
-    """Two generations of at most `limit` entries: frequent words stay, rare ones go when the older one is let go."""
-
-    def __init__(self, limit: int):
-        self.limit, self.young, self.old = limit, {}, {}
-
-    def ready(self, keys: set, compute: Callable[[list], dict]) -> dict:
-        """A dict that holds all keys; compute gets those that no generation has."""
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
-        young, old, missing = self.young, self.old, []
-        for k in keys:
-            if k in young:  # not keys - young.keys(), which walks over all of young
-                continue
-            v = old.get(k)
-            if v is None:
-                missing.append(k)
-            else:
-                young[k] = v
-        if missing:
-            young.update(compute(missing))
-        return young
+    """Words and a list of numbers for each, as Arrow and NumPy arrays: about 30 bytes a word.
+
+    It holds at most `limit` words, or those of the batch that it was last asked for: beyond the limit
+    it starts anew.
+    """
+
+    def __init__(self, limit: int, dtype):
+        self.limit, self.dtype = limit, np.dtype(dtype)
+        self.clear()
+
+    def clear(self) -> None:
+        self.words = pa.array([], pa.string())
+        self.sizes, self.starts, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, self.dtype)
+
+    def places(self, distinct: pa.StringArray, compute: Callable[[list[str]], list[bytes]]) -> np.ndarray:
+        """For each of the words its place in sizes and starts (of its numbers in flat); compute gives the numbers of new words as bytes."""
+        if len(self.words) + len(distinct) > self.limit and len(self.words):
+            if pc.index_in(distinct, value_set=self.words).null_count:
+                self.clear()
+        at = pc.index_in(distinct, value_set=self.words)
+        if at.null_count:
+            new = distinct.filter(at.is_null())
+            raws = compute(new.to_pylist())
+            sizes = np.fromiter(map(len, raws), np.int64, len(raws)) // self.dtype.itemsize
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(raws), self.dtype)])
+            self.words = pa.concat_arrays([self.words, new])
+            at = pc.index_in(distinct, value_set=self.words)
+        return at.to_numpy(zero_copy_only=False)

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import bounded, one_byte_spaces, plain, set_apart
+from .kernel import bounded, chunks_of, one_byte_spaces, plain, set_apart
 from .memory import Memory
 from .runtime import materialize, ship
 
@@ -31,7 +31,7 @@ BEYOND = "[^\\x{00}-\\x{ff}]"  # beyond Latin-1
 PUNCTUATION = np.isin(np.arange(256), list(b".,;:!?#$%&*|"))
 ALPHANUMERIC = np.isin(np.arange(256), list(b"0123456789abcdefghijklmnopqrstuvwxyz"))
 SHARP_S, LAST, DIVISION = 0x9F, 0xBF, 0xB7  # second bytes of the letters from sharp s on, and of the sign among them
-KEPT = 300_000
+KEPT = 1_000_000
 assert sys.byteorder == "little" and array("I").itemsize == 4
 _models: dict = {}
 _words: dict[str, Memory] = {}
@@ -46,11 +46,11 @@ def tokenizer(path: str):
         ends = np.zeros(model.get_vocab_size(), dtype=bool)
         for piece, i in model.get_vocab().items():
             ends[i] = piece.endswith("</w>")
-        _models[path], _words[path] = (model, ends), Memory(KEPT)
+        _models[path], _words[path] = (model, ends), Memory(KEPT, "<u4")
     return _models[path]
 
 
-def encode_words(words: list[str], path: str) -> dict[str, bytes]:
+def encode_words(words: list[str], path: str) -> list[bytes]:
     """The ids of each word: plain words in rows of 256, which the tokenizer splits again, others one by one."""
     model, ends = tokenizer(path)
     plain = [w for w in words if w.isalpha() and w.isascii()]  # one pre-token each
@@ -69,7 +69,7 @@ def encode_words(words: list[str], path: str) -> dict[str, bytes]:
         part = rest[at : at + 4096]
         for w, e in zip(part, model.encode_batch_fast(part, add_special_tokens=False)):
             out[w] = array("I", e.ids).tobytes()
-    return out
+    return [out[w] for w in words]
 
 
 def after_letter(before: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -92,15 +92,13 @@ def encode_documents(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray
         texts_read, texts = texts, pc.if_else(odd, "", texts)
     lower = one_byte_spaces(pc.utf8_lower(texts))
     apart = set_apart(pc.if_else(wide, "", lower) if pc.any(wide).as_py() else lower, PUNCTUATION, b" ", after_letter)
-    chunks = pc.utf8_split_whitespace(pc.if_else(wide, texts, apart) if pc.any(wide).as_py() else apart)
+    chunks = chunks_of(pc.if_else(wide, one_byte_spaces(texts), apart) if pc.any(wide).as_py() else apart)
     coded = chunks.flatten().dictionary_encode()
-    distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-    raws = list(map(_words[path].ready(distinct, lambda new: encode_words(new, path)).__getitem__, distinct))
-    sizes = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
-    flat = np.frombuffer(b"".join(raws), dtype="<u4")
-    n = sizes[at]
+    memory = _words[path]
+    at = memory.places(coded.dictionary, lambda new: encode_words(new, path))[coded.indices.to_numpy(zero_copy_only=False)]
+    n = memory.sizes[at]
     ends = np.cumsum(n)
-    ids = flat[np.repeat((np.cumsum(sizes) - sizes)[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+    ids = memory.flat[np.repeat(memory.starts[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
     bounds = np.concatenate([[0], ends])[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()]
     if len(whole):
         parts = np.split(ids, bounds[1:-1])

@@ -19,11 +19,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import bounded, one_byte_spaces, plain, set_apart
+from .kernel import bounded, chunks_of, one_byte_spaces, plain, set_apart
 from .memory import Memory
 from .runtime import ship
 
@@ -31,7 +30,7 @@ MARK = "▁"
 TAIL = ".,;:!?#$%&*|()[]{}<>\"+=-_/~"
 IN_TAIL = np.isin(np.arange(256), list(TAIL.encode()))
 APART = "\x01"  # stands before a tail that is set apart
-KEPT = 300_000
+KEPT = 1_000_000
 NODES = 500_000
 UNSEEN = 2.0  # a byte scores this much below the rarest piece
 _vocab: dict = {}
@@ -77,7 +76,7 @@ class Trie:
         self.child: dict[int, int] = {}  # node << 21 | character -> node
         self.best, self.used = [0.0], [0]
 
-    def count(self, words: list[str]) -> dict[str, tuple[int, float]]:
+    def count(self, words: list[str]) -> dict[str, tuple[float, float]]:
         """(pieces, score) of the best segmentation of each word; new prefixes are scored on the way."""
         out, get = {}, self.scores.get
         for word in words:
@@ -117,21 +116,23 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(it):
         trie = _tries.setdefault(path, Trie(path))
-        chunks = _chunks.setdefault(path, Memory(KEPT))
+        chunks = _chunks.setdefault(path, Memory(KEPT, np.float64))
 
-        def count(some: list[str]) -> dict[str, tuple[int, float]]:
+        def count(some: list[str]) -> list[bytes]:
             # A chunk that begins with APART and goes on with punctuation is the tail of one.
-            words = {c: c[1:] if len(c) > 1 and c[0] == APART and not c[1:].strip(TAIL) else MARK + c for c in some}
-            known = trie.count(sorted(words.values()))
-            return {c: known[w] for c, w in words.items()}
+            words = [c[1:] if len(c) > 1 and c[0] == APART and not c[1:].strip(TAIL) else MARK + c for c in some]
+            known = trie.count(sorted(set(words)))
+            return [np.array([1, *known[w]]).tobytes() if c else b"" for c, w in zip(some, words)]
 
         for batch in bounded(it, 1):
             # The chunks of a batch are numbered, and only distinct ones become Python strings.
-            lists = pc.utf8_split_whitespace(set_apart(one_byte_spaces(plain(batch.column(1))), IN_TAIL, b" " + APART.encode()))
+            lists = chunks_of(set_apart(one_byte_spaces(plain(batch.column(1))), IN_TAIL, b" " + APART.encode()))
             coded = lists.flatten().dictionary_encode()
-            distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-            ready = chunks.ready([c for c in distinct if c], count)
-            table = np.array([(1, *ready[c]) if c else (0, 0, 0.0) for c in distinct]).reshape(-1, 3)[at]
+            at = chunks.places(coded.dictionary, count)[coded.indices.to_numpy(zero_copy_only=False)]
+            # Each chunk has a word, its pieces and its score; the empty ones at the ends of a text have none.
+            table = np.zeros((len(at), 3))
+            full = chunks.sizes[at] > 0
+            table[full] = chunks.flat.reshape(-1, 3)[chunks.starts[at[full]] // 3]
             sums = np.zeros((len(batch), 3))
             bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             some = np.flatnonzero(np.diff(bounds))

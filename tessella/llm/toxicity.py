@@ -131,7 +131,7 @@ def restored(texts: pa.Array, lm: np.ndarray, memory: dict) -> pa.Array:
     def read(m):
         token = m.group(0)
         if token not in memory:
-            if len(memory) > 200_000:
+            if len(memory) > 50_000:
                 memory.clear()
                 memory[None] = table
             memory[token] = restore(token, table)
