@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import discard, materialize
@@ -121,3 +121,59 @@ def chain_edges(df: DataFrame, group: str, order: list[str], code: str) -> DataF
     """(grp, a, b): adjacent records of each group."""
     w = Window.partitionBy(group).orderBy(*order)
     return df.select(F.col(group).alias("grp"), F.col(code).alias("a"), F.lead(code).over(w).alias("b")).where("b is not null")
+
+
+def budgeted(seen: DataFrame, sides: list[str], edges: DataFrame, focus: DataFrame, budget: int) -> DataFrame:
+    """(side, id, depth, hidden, edges): of seen(side, id, depth) the first by side, depth and id, `budget`
+    with the focus(id), the number of those left out, and of edges between what is shown and the focus."""
+    place = F.coalesce(*[F.when(F.col("side") == s, F.lit(k)) for k, s in enumerate(sides)])
+    seen = materialize(seen, "seen")
+    shown = materialize(seen.orderBy(place, "depth", "id").limit(budget - 1), "shown")
+    known = F.broadcast(shown.select("id").unionByName(focus).distinct())  # `budget` rows at most
+    inside = edges.select("a", "b").join(known.withColumnRenamed("id", "a"), "a", "left_semi").join(known.withColumnRenamed("id", "b"), "b", "left_semi")
+    counts = seen.agg(F.count("*").alias("all")).join(F.broadcast(inside.agg(F.count("*").alias("edges"))))  # one row each
+    return shown.join(F.broadcast(counts)).select("side", "id", "depth", F.greatest(F.col("all") - (budget - 1), F.lit(0)).alias("hidden"), "edges")
+
+
+def context(edges: DataFrame, focus: str, kinds: dict[str, Column]) -> DataFrame:
+    """(role, n, first): parents, siblings, and children by kind of a node, each counted."""
+    parents = edges.where(F.col("b") == focus).select(F.col("a").alias("p")).distinct()
+    siblings = edges.join(parents.withColumnRenamed("p", "a"), "a", "left_semi").where(F.col("b") != focus).select(F.lit("sibling").alias("role"), F.col("b").alias("id"))
+    rows = parents.select(F.lit("parent").alias("role"), F.col("p").alias("id")).unionByName(siblings)
+    for name, condition in kinds.items():
+        rows = rows.unionByName(edges.where((F.col("a") == focus) & condition).select(F.lit(name).alias("role"), F.col("b").alias("id")))
+    return rows.groupBy("role").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+
+
+def taxonomy(rows: DataFrame, levels: dict[str, str], leaf: str, key: str) -> DataFrame:
+    """(kind, id, parent): a node for each distinct path of the levels, and one for each row."""
+    out, path, parent = None, [], F.lit(None).cast("string")
+    for kind, column in levels.items():
+        path = [*path, F.col(column).cast("string")]
+        node = rows.select(F.lit(kind).alias("kind"), F.concat_ws("/", *path).alias("id"), parent.alias("parent")).distinct()
+        out, parent = node if out is None else out.unionByName(node), F.concat_ws("/", *path)
+    return out.unionByName(rows.select(F.lit(leaf).alias("kind"), F.col(key).cast("string").alias("id"), parent.alias("parent")))
+
+
+def sample(edges: DataFrame, kind: Column, most: int) -> DataFrame:
+    """(id, layer): `most` nodes by layer and id of a search from the node with the most edges of each kind (a column of id)."""
+    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
+    degree = both.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("degree")).withColumn("kind", kind)
+    best = degree.groupBy("kind").agg(F.min(F.struct((-F.col("degree")).alias("minus"), "id")).alias("best"))
+    seen = front = materialize(best.select(F.col("best.id").alias("id"), F.lit(0).alias("layer")), "sample")
+    layer = 0
+    while seen.count() < most:
+        layer += 1
+        new = front.select(F.col("id").alias("a")).join(both, "a").select(F.col("b").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
+        front = materialize(new.withColumn("layer", F.lit(layer)), "sample")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen.orderBy("layer", "id").limit(most)
+
+
+def cloned(edges: DataFrame, times: int) -> DataFrame:
+    """The edges `times` times over, each copy with nodes of its own."""
+    copy = F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("k")
+    named = lambda c: F.concat(F.col(c), F.lit("#"), F.col("k").cast("string")).alias(c)
+    return edges.select("a", "b", copy).select(named("a"), named("b"))
