@@ -25,8 +25,8 @@ def count_into(df: DataFrame, col: str, missing: str = "missing") -> DataFrame:
 
 
 def inverted_index(df: DataFrame, key: Column, value: Column) -> DataFrame:
-    """(key, members): sorted distinct values of each key; list columns are exploded by the caller."""
-    return df.select(key.alias("key"), value.alias("member")).where("key is not null").groupBy("key").agg(F.sort_array(F.collect_set("member")).alias("members"))
+    """(key, member) once each, so that no key is one task's work; list columns are exploded by the caller."""
+    return df.select(key.alias("key"), value.alias("member")).where("key is not null").distinct()
 
 
 def alias_index(df: DataFrame, code: str, aliases: Column) -> DataFrame:

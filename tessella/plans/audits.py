@@ -151,12 +151,12 @@ def contract_counters(spark, d):
 
 
 @query(
-    "with r as (select l_orderkey as q, l_linenumber as k, l_returnflag = 'R' as good, l_linestatus = 'F' as meta, l_discount > 0 as explained, l_suppkey = 7 as forbidden, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) as rank from lineitem), f as (select q, min(rank) filter (good) as first from r group by 1)"
+    "with r as (select l_orderkey as q, l_linenumber as k, l_returnflag = 'R' as good, l_linestatus = 'F' as meta, l_discount > 0 as explained, l_suppkey = 7 as forbidden, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag) as rank from lineitem), f as (select q, min(rank) filter (good) as first from r group by 1)"
     " select count(*) as queries, count(*) filter (first = 1) as top1, count(*) filter (first <= 3) as recall3, cast(coalesce(sum(1000000 // first), 0) as bigint) as mrr_millionths, (select count(*) filter (meta) from r) as metadata_hits, (select count(*) filter (explained) from r) as explained, (select count(*) filter (forbidden and rank = 1) from r) as forbidden_top from f"
 )
 def ranking_evaluation(spark, d):
     """Top-1, recall at 3, reciprocal rank, metadata accuracy, explained results, forbidden tops."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
     r = table(spark, d, "lineitem").withColumn("rank", F.row_number().over(w))
     q = r.groupBy("l_orderkey").agg(F.min(F.when(F.col("l_returnflag") == "R", F.col("rank"))).alias("first"), F.count_if(F.col("l_linestatus") == "F").alias("meta"), F.count_if(F.col("l_discount") > 0).alias("explained"), F.count_if((F.col("l_suppkey") == 7) & (F.col("rank") == 1)).alias("forbidden"))
     return q.agg(F.count("*").alias("queries"), F.count_if(F.col("first") == 1).alias("top1"), F.count_if(F.col("first") <= 3).alias("recall3"), F.coalesce(F.sum(F.floor(F.lit(1000000) / F.col("first"))), F.lit(0)).cast("long").alias("mrr_millionths"), F.sum("meta").alias("metadata_hits"), F.sum("explained").alias("explained"), F.sum("forbidden").alias("forbidden_top"))

@@ -81,11 +81,11 @@ def coverage_tallies(spark, d):
     return S.tallies(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"])
 
 
-@query("with e as (select l_partkey, count(*) filter (l_returnflag = 'R') > 0 as first, count(*) filter (l_returnflag = 'A') > 0 as second from lineitem group by 1) select case when first and second then 'complete' when first or second then 'partial' else 'empty' end as state, count(*) as n from e group by 1")
+@query("with e as (select l_orderkey, count(*) filter (l_returnflag = 'R') > 0 as first, count(*) filter (l_returnflag = 'A') > 0 as second from lineitem group by 1) select case when first and second then 'complete' when first or second then 'partial' else 'empty' end as state, count(*) as n from e group by 1")
 def group_completeness(spark, d):
     """groups with the first edge, the second, or both."""
     has = lambda x: F.max((F.col("l_returnflag") == x).cast("int"))
-    e = table(spark, d, "lineitem").groupBy("l_partkey").agg((has("R") + has("A")).alias("k"))
+    e = table(spark, d, "lineitem").groupBy("l_orderkey").agg((has("R") + has("A")).alias("k"))
     return e.groupBy(F.when(F.col("k") == 2, "complete").when(F.col("k") == 1, "partial").otherwise("empty").alias("state")).agg(F.count("*").alias("n"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import facets, score, sequential, stats
+from ..operators import facets, matching, score, sequential, stats
 from .registry import query
 from .tables import STD, std, table
 from .understanding import tokens_sql
@@ -86,8 +86,10 @@ def _pairs(spark, d):
 
 @query(f"with {PAIRS} select a, b, shared, na, nb from pairs where a <> b and shared * 10 >= 6 * (na + nb - shared)")
 def jaccard_pairs(spark, d):
-    """Pairs by Jaccard, through an inverted index."""
-    return _pairs(spark, d).where("a <> b and shared * 10 >= 6 * (na + nb - shared)")
+    """Pairs by Jaccard, by prefix filtering."""
+    p = table(spark, d, "part").select("p_brand", "p_size", "p_partkey", T.words_of(F.concat_ws(" ", "p_name", "p_type")).alias("tokens"))
+    side = lambda name: p.select("p_brand", "p_size", F.col("p_partkey").alias(name), "tokens")
+    return matching.jaccard_join(side("a"), side("b"), ["p_brand", "p_size"], 3, 5).where("a <> b")
 
 
 @query(f"with {PAIRS} select a, b, shared / least(na, nb) as overlap from pairs where a <> b and shared * 2 >= least(na, nb)")
