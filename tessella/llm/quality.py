@@ -80,6 +80,18 @@ def forward(x: np.ndarray, bounds: np.ndarray, m: dict):
     return p, (h, v, u, weight, z, bag, at)
 
 
+def gradient(x: np.ndarray, bounds: np.ndarray, y: np.ndarray, m: dict) -> dict:
+    """Of the mean logistic loss of the bags, for each part of the model."""
+    p, (h, v, u, weight, z, bag, at) = forward(x, bounds, m)
+    d = (p - y) / len(y)
+    dz = d[:, None] * m["c"]
+    dw = (h * dz[bag]).sum(1)
+    da = weight * (dw - np.add.reduceat(weight * dw, at)[bag])
+    dv, du = da[:, None] * m["a"] * u * (1 - v * v), da[:, None] * m["a"] * v * u * (1 - u)
+    dh = (weight[:, None] * dz[bag] + dv @ m["v"].T + du @ m["u"].T) * (1 - h * h)
+    return {"w": x.T @ dh, "wb": dh.sum(0), "v": h.T @ dv, "u": h.T @ du, "a": (v * u).T @ da, "c": z.T @ d, "cb": d.sum(keepdims=True)}
+
+
 def train(x: np.ndarray, bounds: np.ndarray, y: np.ndarray, epochs: int = 40, batch: int = 256, rate: float = 0.01, seed: int = 7) -> dict:
     """Adam on the logistic loss of the bags."""
     r = np.random.default_rng(seed)
@@ -91,14 +103,7 @@ def train(x: np.ndarray, bounds: np.ndarray, y: np.ndarray, epochs: int = 40, ba
         for part in np.array_split(r.permutation(len(y)), max(1, len(y) // batch)):
             rows = np.concatenate([np.arange(bounds[d], bounds[d + 1]) for d in part])
             xb, bb = x[rows], np.concatenate([[0], np.cumsum(np.diff(bounds)[part])])
-            p, (h, v, u, weight, z, bag, at) = forward(xb, bb, m)
-            d = (p - y[part]) / len(part)
-            dz = d[:, None] * m["c"]
-            dw = (h * dz[bag]).sum(1)
-            da = weight * (dw - np.add.reduceat(weight * dw, at)[bag])
-            dv, du = da[:, None] * m["a"] * u * (1 - v * v), da[:, None] * m["a"] * v * u * (1 - u)
-            dh = (weight[:, None] * dz[bag] + dv @ m["v"].T + du @ m["u"].T) * (1 - h * h)
-            grad = {"w": xb.T @ dh, "wb": dh.sum(0), "v": h.T @ dv, "u": h.T @ du, "a": (v * u).T @ da, "c": z.T @ d, "cb": d.sum(keepdims=True)}
+            grad = gradient(xb, bb, y[part], m)
             step += 1
             lr = rate * (1 - epoch / epochs)
             for k, g in grad.items():
@@ -110,7 +115,11 @@ def train(x: np.ndarray, bounds: np.ndarray, y: np.ndarray, epochs: int = 40, ba
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labels: int = 8000) -> dict:
-    """The model from about max_labels labelled rows (nulls left out, of repeated ids one counts)."""
+    """The model from about max_labels labelled rows (nulls left out, of repeated ids one counts).
+
+    Further columns are ignored; null and empty texts are one empty passage; an empty table, or labels
+    of one kind only, give a model with one answer.
+    """
     ship(docs.sparkSession)
     labels = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
     sample = labels.where(hash_fraction("id", max_labels, labels.count()))
@@ -123,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), label.slice(lo, hi - lo), pa.array([x[bounds[d] : bounds[d + 1]].tobytes() for d in range(hi - lo)], pa.binary())], ["id", "label", "x"])
 
     joined = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
-    rows = materialize(joined.select("id", "text", "label").mapInArrow(run, "id long, label int, x binary"), "bags").orderBy("id").toPandas()
+    rows = materialize(joined.select("id", "text", "label").mapInArrow(run, "id long, label int, x binary"), "bags").toPandas().sort_values("id", kind="stable", ignore_index=True)
     if rows.label.nunique() < 2:
         return {"constant": float(rows.label.iloc[0]) if len(rows) else 1.0}
     bags = [np.frombuffer(x, dtype=np.float32).reshape(-1, WIDTH) for x in rows.x]
@@ -131,7 +140,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of every whole text; null and empty texts are one empty passage. Repeated ids give a row each.
+    """(doc_id, score) of every whole text; null and empty texts are one empty passage.
+
+    Repeated ids give a row each and a null id stays null; further columns are ignored; an empty table
+    gives no rows.
 
     A model that has seen one label only, or none, gives that label (1 for none) to all.
     """

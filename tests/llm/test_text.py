@@ -61,6 +61,111 @@ def test_every_notice_is_found_in_running_text(spark):
     assert got == want | {i: name for i, (_, name) in tags.items()}
 
 
+def brute_license(text, idf, rare, templates=licenses.TEMPLATES, least=0.6):
+    """The best cosine of any line, of the lines with a cue together, and of windows of each template's length over all words, by plain loops."""
+    import collections
+
+    split = lambda t: [w for w in re.split(licenses.TOKENS, t.lower()) if w]
+    known, cues = licenses.weigh(templates, *idf, least)[1:]
+    weight = {w: math.log((1.0 + idf[1]) / (1.0 + idf[0].get(w, 0))) + 1 for _, t in templates for w in t.split()}
+
+    def cosine(words, unit):
+        x = {w: n * weight.get(w, rare) for w, n in collections.Counter(words).items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        return sum(v * unit.get(w, 0.0) for w, v in x.items()) / norm if norm else 0.0
+
+    found, words = [], split(text)
+    lines = [split(x) for x in text.split("\n") if set(split(x)) & set(cues)]
+    for _, name, unit, seq, _ in known:
+        units = [*lines, *([sum(lines, [])] if len(lines) > 1 else [])]
+        more = -(-len(seq) // 4)
+        for size, back in ((len(seq), 0), (len(seq) + more, more // 2)):
+            for at in range(len(words)):
+                if words[at] in cues and words[at] in unit:
+                    for o, w in enumerate(seq):
+                        if w == words[at]:
+                            units.append(words[max(0, at - o - back) : max(0, at - o - back + size)])
+        found += [(-round(cosine(u, unit), 9), name) for u in units]
+    best = min((x for x in found if -x[0] >= least), default=None)
+    return (best[1], -best[0]) if best else (None, 0.0)
+
+
+def test_licences_equal_plain_loops(spark):
+    rng = np.random.default_rng(12)
+    filler = [f"w{k}" for k in range(60)] + ["the", "software", "license", "version", "public", "and", "of"]
+    texts = []
+    for _, notice in licenses.TEMPLATES:
+        words = [w for w in notice.split() if rng.random() < 0.9]
+        texts.append(" ".join([*rng.choice(filler, 9), *words, *rng.choice(filler, 9)]))
+        texts.append(" ".join(rng.choice(filler, 6)) + "\n# " + " ".join(words) + "\n" + " ".join(rng.choice(filler, 5)))
+    texts += [" ".join(rng.choice(filler, 40)) for _ in range(10)] + ["", "x " * 30_000 + "released under the mit license " + "y " * 30_000]
+    table = spark.createDataFrame([(k, None, t) for k, t in enumerate(texts)] + [(900, None, None)], "doc_id long, path string, text string")
+    got = {r.doc_id: (r.license, round(r.score, 6)) for r in licenses.license_scan(table).collect()}
+    split = lambda t: {w for w in re.split(licenses.TOKENS, t.lower()) if w}
+    vocabulary = {w for _, t in licenses.TEMPLATES for w in t.split()}
+    df = {w: sum(w in split(t) for t in texts) for w in vocabulary}
+    total = len(texts) + 1
+    for k, t in enumerate(texts):
+        name, score = brute_license(t, (df, total), math.log(1.0 + total) + 1)
+        assert got[k] == (name, round(score, 6)), (k, t[:200])
+
+
+def test_nearest_centroids_equal_a_plain_search(spark):
+    import collections
+
+    rows = [(k, " ".join(t)) for k, t in enumerate([["der", "hund", "und", "die", "katze"] * 3, ["the", "dog", "and", "a", "cat"] * 3, ["le", "chien", "et", "un", "chat"] * 3] * 6)]
+    names = ["de", "en", "fr"] * 6
+    table = spark.createDataFrame([(k, t + f" {k}", n) for (k, t), n in zip(rows, names)], "doc_id long, text string, lang string")
+    model = language_id.fit(table, "doc_id", "text", "lang", 2, 100, 0.005)
+    got = {r.doc_id: r for r in language_id.identify(odd(spark).unionByName(table, allowMissingColumns=True).select("doc_id", "text"), model).collect()}
+
+    def vector(text):
+        raw = bytes(language_id.LETTER[b] for b in text.lower().encode())
+        out = collections.Counter()
+        for size in (2, 3, 4):
+            for at in range(len(raw) - size + 1):
+                part = raw[at : at + size]
+                if any(b != language_id.SPACE for b in part):
+                    key = 0
+                    for b in part:
+                        key = (key * 257 + b + 1) % (1 << 64)
+                    out[(key * 0x9E3779B97F4A7C15) % (1 << 64) >> 52] += 1
+        x = np.zeros(language_id.DIM)
+        for slot, n in out.items():
+            x[slot] = math.log1p(n) * model["idf"][slot]
+        return x / max(np.linalg.norm(x), 1e-12)
+
+    for i, text in [*ODD[4:], *((r.doc_id, r.text) for r in table.collect())]:
+        near = [float(np.dot(c, vector(text))) for c in model["centroids"]]
+        best = max(range(len(near)), key=lambda j: near[j])
+        assert got[i].lang_pred == model["labels"][best] and math.isclose(got[i].score, min(1, max(0, near[best])), abs_tol=1e-4)
+
+
+def test_attention_scores_and_gradients_equal_plain_loops():
+    rng = np.random.default_rng(2)
+    width, hidden = 5, quality.HIDDEN
+    m = {"w": rng.normal(size=(width, hidden)), "wb": rng.normal(size=hidden), "v": rng.normal(size=(hidden, hidden)), "u": rng.normal(size=(hidden, hidden)), "a": rng.normal(size=hidden), "c": rng.normal(size=hidden), "cb": rng.normal(size=1)}
+    x, bounds, y = rng.normal(size=(9, width)), np.array([0, 1, 4, 9]), np.array([1.0, 0.0, 1.0])
+
+    def plain(m):
+        out = []
+        for lo, hi in zip(bounds, bounds[1:]):
+            h = [np.tanh(r @ m["w"] + m["wb"]) for r in x[lo:hi]]
+            a = np.array([(np.tanh(k @ m["v"]) / (1 + np.exp(-(k @ m["u"])))) @ m["a"] for k in h])
+            weight = np.exp(a) / np.exp(a).sum()
+            out.append(1 / (1 + np.exp(-(sum(w * k for w, k in zip(weight, h)) @ m["c"] + m["cb"][0]))))
+        return np.array(out)
+
+    assert np.allclose(quality.forward(x, bounds, m)[0], plain(m))
+    loss = lambda m: -np.mean(y * np.log(plain(m)) + (1 - y) * np.log(1 - plain(m)))
+    for name, g in quality.gradient(x, bounds, y, m).items():
+        for at in list(np.ndindex(g.shape))[:: max(1, g.size // 6)]:
+            up, down = {k: v.copy() for k, v in m.items()}, {k: v.copy() for k, v in m.items()}
+            up[name][at] += 1e-5
+            down[name][at] -= 1e-5
+            assert math.isclose((loss(up) - loss(down)) / 2e-5, g[at], rel_tol=1e-3, abs_tol=1e-7), name
+
+
 def brute_pieces(word, scores, longest, byte):
     best = [(0.0, 0)] + [None] * len(word)
     for end in range(1, len(word) + 1):
