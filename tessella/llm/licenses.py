@@ -37,7 +37,21 @@ TEMPLATES = [
     ("CC0-1.0", "released into the public domain under cc0 1.0 universal"),
     ("Proprietary", "copyright all rights reserved"),
     ("Proprietary", "all rights reserved"),
+    ("GPL-2.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or any later version"),
+    ("LGPL-2.1", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or any later version"),
+    ("LGPL-3.0", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or any later version"),
+    ("AGPL-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or any later version"),
+    ("ISC", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("Zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("Unlicense", "this is free and unencumbered software released into the public domain"),
+    ("EPL-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0"),
+    ("CC-BY-ND-4.0", "licensed under cc by nd 4.0"),
     # Titles of the full texts.
+    ("BSL-1.0", "boost software license version 1.0"),
+    ("Artistic-2.0", "the artistic license 2.0"),
+    ("CDDL-1.0", "common development and distribution license version 1.0"),
+    ("OFL-1.1", "sil open font license version 1.1"),
+    ("EUPL-1.2", "european union public licence v 1.2"),
     ("Apache-2.0", "apache license version 2.0 january 2004"),
     ("GPL-3.0", "gnu general public license version 3 29 june 2007"),
     ("GPL-2.0", "gnu general public license version 2 june 1991"),
