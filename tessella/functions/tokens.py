@@ -132,3 +132,17 @@ def rewrite_codes(df: DataFrame, key: str, refs: str, codes: DataFrame, old: str
     known = token.join(codes.select(F.col(old).alias("_old"), F.col(new).alias("_new")), F.trim("tok") == F.col("_old"), "left")
     put = F.when(F.col("_new").isNull(), F.col("tok")).otherwise(F.replace(F.col("tok"), F.trim("tok"), F.col("_new")))
     return known.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", put.alias("t")))), lambda x: x["t"]), "").alias(refs))
+
+
+def toc_line(lines: DataFrame, key: str, line: str) -> DataFrame:
+    """(key, title, page) of lines of a table of contents."""
+    plain = F.translate(line, "０１２３４５６７８９", "0123456789")
+    tail = r"[.…·]{2,}\s*([0-9]+)$"
+    return lines.select(key, F.trim(F.regexp_replace(plain, tail, "")).alias("title"), F.regexp_extract(plain, tail, 1).try_cast("int").alias("page"))
+
+
+def ranked_rules(c: Column, rules: dict[str, list[str]]) -> Column:
+    """The names whose words occur in a text, by number of occurrences, then by name."""
+    times = lambda w: F.floor((F.length(c) - F.length(F.replace(c, F.lit(w), F.lit("")))) / len(w))
+    hits = F.array(*[F.struct((-sum((times(w) for w in words), F.lit(0))).alias("minus"), F.lit(name).alias("name")) for name, words in rules.items()])
+    return F.transform(F.array_sort(F.filter(hits, lambda h: h["minus"] < 0)), lambda h: h["name"])

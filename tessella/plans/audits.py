@@ -140,12 +140,14 @@ def unit_ranges(spark, d):
 COUNTERS = {
     "wrong_subject": "l_returnflag = 'R' and o_orderstatus = 'F'", "excluded_subject": "l_linestatus = 'O' and o_orderpriority = '1-URGENT'", "wrong_band": "l_linenumber > 5 and o_totalprice < 100000", "below_min_score": "l_discount < 0.02",
     "forbidden_code": "l_suppkey = 7", "missing_expected": "l_quantity = 50", "no_evidence": "l_tax = 0", "above_limit": "l_linenumber > 6",
+    "wrong_domain": "l_returnflag = 'A' and o_orderstatus = 'P'", "wrong_skill": "l_tax > 0.07", "no_review": "l_linestatus = 'F' and l_returnflag = 'N'", "fake_code": "l_partkey = 0", "expected_only": "l_quantity < 2",
+    "should_be_empty": "o_totalprice < 2000", "no_rationale": "l_shipdate < o_orderdate",
 }
 
 
 @query(" union all ".join(f"select '{n}' as rule, count(*) filter ({c}) as n from lineitem join orders on o_orderkey = l_orderkey" for n, c in COUNTERS.items()))
 def contract_counters(spark, d):
-    """Counters of a search contract's violations over all results, in one pass (eight of the fifteen rules)."""
+    """Counters of a search contract's violations over all results, in one pass: fifteen rules."""
     o = table(spark, d, "orders").withColumnRenamed("o_orderkey", "l_orderkey")
     return summaries.counted(table(spark, d, "lineitem").join(o, "l_orderkey"), {n: F.expr(c) for n, c in COUNTERS.items()})
 
@@ -183,3 +185,31 @@ def decided_items(spark, d):
     items = table(spark, d, "orders").select(F.col("o_custkey").alias("key")).distinct()
     decisions = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderstatus").alias("decision"), "o_orderkey")
     return quality.overlay(items, decisions, ["key"], "o_orderkey").where("decision not in ('P', 'pending')").select("key", "decision", F.lit("latest").alias("by_rule"))
+
+
+@query("select event_id, day from (select event_id, strftime(ts, '%Y-%m-%d') as day, row_number() over (partition by strftime(ts, '%Y-%m-%d') order by ts desc, event_id desc) as r from events where ts >= (select max(ts) from events) - interval 10 days) where r <= 5")
+def retention_ttl(spark, d):
+    """The newest events of each day, none older than its time to live of ten days before the latest."""
+    e = table(spark, d, "events")
+    live = e.join(F.broadcast(e.agg(F.max("ts").alias("latest")))).where(F.col("ts") >= F.col("latest") - F.expr("interval 10 days"))  # one row
+    w = Window.partitionBy("day").orderBy(F.desc("ts"), F.desc("event_id"))
+    return live.withColumn("day", F.date_format("ts", "yyyy-MM-dd")).withColumn("r", F.row_number().over(w)).where("r <= 5").select("event_id", "day")
+
+
+@query("select l_returnflag as kind, count(*) as n, count(*) filter (l_tax = 0) as no_provenance, count(distinct l_partkey) as sources, count(distinct l_suppkey) as targets from lineitem group by 1")
+def graph_audit(spark, d):
+    """counts by relation type, missing provenance and linked nodes."""
+    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("kind")).agg(F.count("*").alias("n"), F.count_if(F.col("l_tax") == 0).alias("no_provenance"), F.count_distinct("l_partkey").alias("sources"), F.count_distinct("l_suppkey").alias("targets"))
+
+
+@query(
+    "with e as (select l_partkey as a, l_suppkey as b, list_sort(list(distinct l_returnflag)) as evidence from lineitem group by 1, 2), j as (select e.*, r.a is not null as both_ways, p_size % 5 <> s_nationkey % 5 as crosses from e left join e r on r.a = e.b and r.b = e.a join part on p_partkey = e.a join supplier on s_suppkey = e.b)"
+    " select a, b, evidence, case when both_ways then 72 else 52 end as confidence from j where not crosses"
+)
+def relation_trust(spark, d):
+    """Edges merged with their evidence; 0.72 where both directions stand, else 0.52; cross-subject ones are rejected."""
+    e = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).agg(F.sort_array(F.collect_set("l_returnflag")).alias("evidence"))
+    back = e.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(True).alias("back"))
+    p, s = table(spark, d, "part").select(F.col("p_partkey").alias("a"), "p_size"), table(spark, d, "supplier").select(F.col("s_suppkey").alias("b"), "s_nationkey")
+    kept = e.join(back, ["a", "b"], "left").join(p, "a").join(s, "b").where(F.col("p_size") % 5 == F.col("s_nationkey") % 5)
+    return kept.select("a", "b", "evidence", F.when(F.col("back"), 72).otherwise(52).alias("confidence"))

@@ -353,3 +353,35 @@ def filter_string(spark, d):
     """A group of alternatives as a quoted filter string."""
     asked, _ = U.subjects_of(F.col("q"))
     return requests(spark, d).withColumn("asked", asked).where(F.size("asked") > 0).select("id", K.filter_group("subject_slug", F.col("asked")).alias("filter"))
+
+
+TOC = "phrase || ' …… ' || translate(((id % 90) + 1)::varchar, '0123456789', '０１２３４５６７８９')"
+
+
+@query(f"with l as (select id, translate({TOC}, '０１２３４５６７８９', '0123456789') as line from {SQL_PHRASE}) select id, trim(regexp_replace(line, '[.…·]{{2,}}\\s*[0-9]+$', '')) as title, cast(regexp_extract(line, '[.…·]{{2,}}\\s*([0-9]+)$', 1) as integer) as page from l")
+def toc_lines(spark, d):
+    """Lines of a table of contents: full-width digits, leader dots and page tails."""
+    wide = F.translate(((F.col("id") % 90) + 1).cast("string"), "0123456789", "０１２３４５６７８９")
+    return K.toc_line(_phrases(spark, d).select("id", F.concat("phrase", F.lit(" …… "), wide).alias("line")), "id", "line")
+
+
+SKILL_RULES = {"TS1": ["the", "and"], "TS2": ["new", "ung"], "TS3": ["self", "ich"], "TS4": ["with", "ensemble"], "TS5": ["que", "wort"], "TS6": ["data", "tion"], "TS7": ["world", "ment"]}
+SKILL_HITS = "[" + ", ".join("{'minus': -(" + " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}" for w in words) + f"), 'skill': '{k}'}}" for k, words in SKILL_RULES.items()) + "]"
+
+
+@query(f"with d as (select doc_id, lower(coalesce(text, '')) as t from documents), h as (select doc_id, list_transform(list_sort(list_filter({SKILL_HITS}, lambda x: x.minus < 0)), lambda x: x.skill) as s from d) select doc_id, coalesce(s[1], 'TS1') as primary_skill, s[2:3] as secondary from h")
+def skill_ranks(spark, d):
+    """The skill with the most keywords, the next two as secondary, TS1 where there is none."""
+    docs = table(spark, d, "documents").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("t"))
+    found = K.ranked_rules(F.col("t"), SKILL_RULES)
+    return docs.select("doc_id", found.alias("s")).select("doc_id", F.coalesce(F.get("s", F.lit(0)), F.lit("TS1")).alias("primary_skill"), F.slice("s", 2, 2).alias("secondary"))
+
+
+CASES = {"units": "方程|次|元", "reading": "(?i)reading|诗词", "body": "身体|body", "space": "三角形|图形", "process": "光合作用|过程", "long": "^.{24,}$", "numbered": "^[0-9]", "chapter": "^第", "activity": "活动", "mixed": "[a-z].*[一-鿿]|[一-鿿].*[a-z]"}
+
+
+@query(f"with c as (select id, list_filter([{', '.join(f'case when regexp_matches(phrase, {chr(39)}{p}{chr(39)}) then {chr(39)}{n}{chr(39)} end' for n, p in CASES.items())}], lambda x: x is not null) as cases from {SQL_PHRASE}) select id, case when len(cases) = 0 then ['default'] else cases end as cases, len(cases) >= 4 as hardest from c")
+def difficulty_cases(spark, d):
+    """A rule engine of patterns to cases, with a default rule (ten rules)."""
+    found = U.named({n: F.col("phrase").rlike(p) for n, p in CASES.items()})
+    return _phrases(spark, d).select("id", found.alias("f")).select("id", F.when(F.size("f") == 0, U.strings(["default"])).otherwise(F.col("f")).alias("cases"), (F.size("f") >= 4).alias("hardest"))
