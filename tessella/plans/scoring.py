@@ -120,7 +120,7 @@ def document_frequency(spark, d):
 
 @query(f"with t as (select doc_id, unnest({TOK.format(c='text')}) as token from documents), f as (select token, count(*) as df from t group by 1), n as (select count(*) as n from documents), b as (select item_id, unnest({TOK.format(c='text')}) as token from benchmark) select item_id, cast(floor(sum(cast(ln(1 + (n + 1) / (coalesce(df, 0) + 1)) as decimal(18, 6))) * 1000 + 0.5) as bigint) as idf_thousandths from b left join f using (token), n group by 1")
 def idf_score(spark, d):
-    """IDF weight of texts (the reference defines this score but never calls it)."""
+    """IDF weight of texts."""
     docs = table(spark, d, "documents")
     f = stats.document_frequency(_tokens(docs, "doc_id", "text", "doc"), "doc", "token")
     n = docs.agg(F.count("*").alias("n"))
