@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, licenses, media, ngram_join, packing, quality, secrets, token_counts, toxicity
+from . import decontaminate, language_id, licenses, media, ngram_join, packing, quality, secrets, token_counts, toxicity, vector_codes, warc, whitening
+from .oracles import VECTOR_CODES, WARC
 from .runtime import folds, table
 
 
@@ -66,7 +67,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", folds("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_join, op3_media, op4_language, op5_licenses, op6_token_counts, op7_toxicity, op8_packing, op9_secrets, op10_quality)}
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_join, op3_media, op4_language, op5_licenses, op6_token_counts, op7_toxicity, op8_packing, op9_secrets, op10_quality, op11_warc, op12_whitening, op13_vector_codes)}
 
 #: DuckDB SQL, where it can express the result.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_warc": WARC, "op13_vector_codes": VECTOR_CODES}
