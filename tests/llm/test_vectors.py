@@ -211,7 +211,7 @@ def test_codes_equal_plain_loops(spark, n, parts, rounds):
 def test_codes_of_no_rows_and_ties(spark):
     assert vector_codes.vector_codes(vectors(spark, [])).collect() == []
     codes, far = vector_codes.nearest(np.array([[1, 0]], dtype=np.int32), np.array([[2], [0], [0]]))
-    assert codes.tolist() == [1, 1] and far.tolist() == [1, 0]
+    assert codes.tolist() == [0, 1] and far.tolist() == [1, 0]
     same = vector_codes.vector_codes(vectors(spark, [(k, [0.5] * 8, None) for k in range(40)])).collect()
     assert {r.code for r in same} == {"00" * 8} and {(r.error, r.label_error) for r in same} == {(0, 0)}
     with pytest.raises(ValueError):
