@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import audits, graphs, matching, programs, records, resources, reviews, scoring, understanding  # noqa: E402, F401
+from . import audits, graphs, lifecycle, matching, programs, records, resources, reviews, scoring, understanding  # noqa: E402, F401
