@@ -63,7 +63,9 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "creative commons attribution noncommercial 4.0 international"),
     ("CC0-1.0", "cc0 1.0 universal"),
 ]
-SPDX = r"(?i)spdx-license-identifier:\s*\(?([a-z0-9.+-]+(?:[ \t]+(?:and|or|with)[ \t]+[a-z0-9.+-]+)*)"
+# The repeated group is possessive: Java's matcher recurses on others, and a long text ends the process.
+SPDX = r"(?i)spdx-license-identifier:\s*\(?([a-z0-9.+-]++(?:[ \t]++(?:and|or|with)[ \t]++[a-z0-9.+-]++)*+)"
+BLOCK = 512  # words
 FILE = r"(?i)^(licen[sc]e|copying|unlicense|notice)(\.[a-z]+)?$"
 TOKENS = r"[^a-z0-9.]+|\.+(?=[^0-9]|$)|(?<![0-9])\.+"
 
@@ -138,11 +140,17 @@ def license_scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path
             if w in own:
                 laid += [(w, name, o, len(seq), {k: x * idf[k] for k, x in unit.items()}), (w, name, o + more // 2, len(seq) + more, {k: x * idf[k] for k, x in unit.items()})]
     laid = spark.createDataFrame(laid, "term string, name string, before int, size int, dots map<string,double>")
-    split = hinted.select("row_key", tokens(F.col("text")).alias("w"))
-    spots = split.select("row_key", "w", F.filter(F.transform("w", lambda x, i: F.struct(i.alias("at"), x.alias("term"))), lambda s: s["term"].isin(cues)).alias("spots"))
-    around = spots.select("row_key", F.explode(F.transform("spots", lambda s: F.struct(s["term"].alias("term"), F.least(s["at"], F.lit(reach)).alias("at"), F.slice("w", F.greatest(s["at"] - reach, F.lit(0)) + 1, F.least(s["at"], F.lit(reach)) + reach).alias("near")))).alias("s")).select("row_key", "s.*")
+    # Words in blocks with as much on either side, so that what a text of cue words alone explodes into is bounded.
+    split = hinted.select("row_key", tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
+    begin = lambda at: F.least(at, F.lit(reach))
+    block = lambda at: F.struct(begin(at).alias("lead"), F.slice("w", at - begin(at) + 1, begin(at) + BLOCK + reach).alias("w"))
+    split = split.select("row_key", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(BLOCK)), block)).alias("b")).select("row_key", "b.*")
+    own = lambda s: (s["at"] >= F.col("lead")) & (s["at"] < F.col("lead") + BLOCK) & s["term"].isin(cues)
+    spots = split.select("row_key", "w", F.filter(F.transform("w", lambda x, i: F.struct(i.alias("at"), x.alias("term"))), own).alias("spots"))
     idfs = F.create_map(*[F.lit(v) for w in vocabulary for v in (w, idf[w])])
-    around = around.withColumn("idfs", F.transform("near", lambda x: F.coalesce(F.element_at(idfs, x), F.lit(rare))))
+    spots = spots.where(F.size("spots") > 0).withColumn("idfs", F.transform("w", lambda x: F.coalesce(F.element_at(idfs, x), F.lit(rare))))
+    near = lambda c, s: F.slice(c, F.greatest(s["at"] - reach, F.lit(0)) + 1, F.least(s["at"], F.lit(reach)) + reach)
+    around = spots.select("row_key", F.explode(F.array_distinct(F.transform("spots", lambda s: F.struct(s["term"].alias("term"), F.least(s["at"], F.lit(reach)).alias("at"), near("w", s).alias("near"), near("idfs", s).alias("idfs"))))).alias("s")).select("row_key", "s.*")
     start, stop = F.greatest(F.col("at") - F.col("before"), F.lit(0)), F.col("at") - F.col("before") + F.col("size")
     windows = around.join(F.broadcast(laid), "term").select("row_key", "name", "dots", F.slice("near", start + 1, stop - start).alias("win"), F.slice("idfs", start + 1, stop - start).alias("x"))
     total_of = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, v: acc + v)

@@ -382,3 +382,14 @@ def test_weak_parts_count_only_with_their_complement(spark):
     clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
     assert clean[1] == "user: alice9 <weak> at https://host.example/x" and clean[2] == weak and clean[5] is None
     assert secrets.report(docs.limit(0)).count() == 0 and secrets.redact(docs).columns == docs.columns
+
+
+def test_long_runs_of_repeated_groups_do_not_end_the_process(spark):
+    """Java's matcher recurses on a repeated group unless it is possessive."""
+    n = 200_000
+    texts = ["x a@b" + ".c" * n, "y 1" + ".1" * n, "password=" + "a.b" * n, "https://" + "a." * n, "A1a" * n, "a@" * n]
+    got = sorted((r.doc_id, r.n_assign) for r in secrets.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert got == [(k, int(k == 2)) for k in range(6)]
+    files = [(1, "/a/x", "SPDX-License-Identifier: MIT" + " or MIT" * 50_000), (2, "/a/y", "mit " * 50_000), (3, "/b/LICENSE", "x" * n)]
+    got = {r.doc_id: r.score for r in licenses.license_scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert got[1] == 1.0 and got[3] == 0.0
