@@ -27,8 +27,8 @@ STOP_PHRASES = [
     "基本", "要求", "年级", "学段",
 ]
 # Numbers of headings, and what kind of line or clause a text is.
-HEADING_NUMBER = r"(?i)^(?:第[一二三四五六七八九十百0-9]+[章节课单元]|(?:starter\s+)?unit\s+[a-z]?[0-9]+|module\s+[a-z]?[0-9]+|[0-9]+(?:\.[0-9]+)*)\s*"
-HEADING = r"^(?:第[一二三四五六七八九十百0-9]+[章节课单元]|Unit\s+[0-9]+|[0-9]+(?:\.[0-9]+)+)"
+HEADING_NUMBER = r"(?i)^(?:第[一二三四五六七八九十百0-9]+[章节课单元]|(?:starter\s+)?unit\s+[a-z]?[0-9]+|module\s+[a-z]?[0-9]+|[0-9]++(?:\.[0-9]++)*+)\s*"
+HEADING = r"^(?:第[一二三四五六七八九十百0-9]+[章节课单元]|Unit\s+[0-9]+|[0-9]++(?:\.[0-9]++)++)"
 TASK = r"^(?:学习目标|目标|活动|练习|习题)"
 CLAUSE = r"[，。；;：:]|与|并"
 

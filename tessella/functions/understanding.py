@@ -52,7 +52,7 @@ SCAFFOLDING = [
     "学科", "课程", "课标", "标准", "教学", "学习", "要求", "目标", "能力", "理解", "掌握", "中的", "中", "里的",
     "里", "关于", "跟", "以及", "并且", "并用", "并", "与", "和", "通过", "进行", "用于", "的",
 ]
-CODE_LIKE = r"(?<![a-z0-9_])[a-z]{2,8}(?:-[a-z0-9]{1,12}){2,}(?![a-z0-9_])"
+CODE_LIKE = r"(?<![a-z0-9_])[a-z]{2,8}(?:-[a-z0-9]{1,12}+(?![a-z0-9_])){2,}+"
 DIGITS = "一二三四五六七八九"
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
+from tessella.functions import tokens, understanding
 from tessella.operators import evaluate, facets, graph, merge, planning, quality, resolve, score, sequential
 from tessella.sources import io
 
@@ -133,3 +134,10 @@ def test_sources_and_sinks(spark, tmp_path):
     m = io.write_generation({"t": df}, str(tmp_path / "gen")).first()
     assert (m.name, m.n_rows) == ("t", 2) and spark.read.json(str(tmp_path / "gen/manifest")).first().digest == m.digest
     assert one(spark, io.markdown_blocks(F.col("t")), t="# A\n- b\n\n> c\nd")[1].text == "b"
+
+
+def test_long_runs_of_repeated_groups_do_not_end_the_process(spark):
+    n = 10**6
+    df = spark.createDataFrame([("ab" + "-ab" * n,), ("1" + ".1" * n,), ("unit " * n,), ("x ab-cd-ef-gh_ y",), ("ab-cd-efghijklmnopqrs z",)], "t string")
+    got = df.select(F.length(F.regexp_replace("t", understanding.CODE_LIKE, " ")), F.length(F.regexp_replace("t", tokens.HEADING_NUMBER, "")), F.col("t").rlike(tokens.HEADING)).collect()
+    assert [tuple(r) for r in got] == [(1, 3 * n + 2, False), (2 * n + 1, 0, True), (5 * n, 5 * n, False), (9, 16, False), (23, 23, False)]
