@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import discard, materialize
+from . import cycles
+
+FOLD = 8  # rounds after which a union of their tables is written as one
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -32,6 +35,12 @@ def neighbours(edges: DataFrame, focus: DataFrame) -> DataFrame:
     return out.unionByName(focus.select("id").join(edges.select(F.col("b").alias("id"), F.col("a").alias("neighbour")), "id").withColumn("direction", F.lit("in")))
 
 
+def grown(seen: DataFrame, new: DataFrame, rounds: int) -> DataFrame:
+    """seen and new; written as one table every few rounds, so that a long search has a short plan."""
+    both = seen.unionByName(new)
+    return materialize(both, "seen") if rounds % FOLD == 0 else both
+
+
 def layers(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
     """(id, depth) of all that is reached along the edges from start(id), in at most `most` steps where that is given."""
     seen, depth = materialize(start.select("id").distinct().withColumn("depth", F.lit(0)), "layers"), 0
@@ -41,7 +50,7 @@ def layers(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataF
         new = materialize(edge.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), "layer")
         if new.isEmpty():
             break
-        seen = seen.unionByName(new)
+        seen = grown(seen, new, depth)
     return seen
 
 
@@ -58,7 +67,7 @@ def shortest_path(edges: DataFrame, source, target, most: int | None = None) ->
         front = materialize(step.join(seen.select("id"), "id", "left_anti").withColumn("path", F.concat("path", F.array("id"))), "paths")
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
+        seen = grown(seen, front, depth)
     return seen.where(F.col("id") == F.lit(target))
 
 
@@ -85,16 +94,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
-    """Edges that remain when nodes that nothing leads to, or that lead nowhere, are taken away until none is left; no rows: no cycle."""
-    left = materialize(edges.select("a", "b").where("a is not null and b is not null").distinct(), "peel")
-    n = left.count()
-    while n:
-        new = materialize(left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"), "peel")
-        discard(left)
-        left, before, n = new, n, new.count()
-        if n == before:
-            break
-    return left
+    """(a, b): distinct edges that lie on a cycle; no rows: no cycle."""
+    return cycles.cycle_edges(edges).select("a", "b")
 
 
 def within_budget(seen: DataFrame, labels: DataFrame, budget: int) -> DataFrame:
@@ -108,13 +109,14 @@ def root_paths(edges: DataFrame) -> DataFrame:
     """(id, path): of all paths from a root to a node the shortest, then the first by order. edges lead from parent to child."""
     roots = edges.join(edges.select(F.col("b").alias("a")), "a", "left_anti").select(F.col("a").alias("id")).distinct()
     front = seen = materialize(roots.withColumn("path", F.array("id")), "roots")
+    rounds = 0
     while True:
+        rounds += 1
         step = front.select(F.col("id").alias("a"), "path").join(edges, "a").groupBy(F.col("b").alias("id")).agg(F.min("path").alias("path"))
         front = materialize(step.join(seen.select("id"), "id", "left_anti").withColumn("path", F.concat("path", F.array("id"))), "roots")
         if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen
+            return seen
+        seen = grown(seen, front, rounds)
 
 
 def chain_edges(df: DataFrame, group: str, order: list[str], code: str) -> DataFrame:

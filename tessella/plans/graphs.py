@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, planning
+from ..operators import cycles, graph, planning, walks
 from .registry import query
 from .tables import TREE, table, tree
 
@@ -73,13 +73,71 @@ def cycle_check(spark, d):
     """The cycle that one edge back to its root makes of a tree."""
     e = tree(spark, d)
     up = e.where("b = 's1'").select(F.col("a").alias("b")).join(e, "b").select(F.lit("s1").alias("a"), F.col("a").alias("b"))
-    return graph.on_cycles(e.unionByName(up))
+    return cycles.cycle_edges(e.unionByName(up)).select("a", "b")
 
 
-@query("with recursive e as (select distinct l_partkey as a, l_suppkey as b from lineitem where l_partkey in (select l_suppkey from lineitem)), w(s, x) as (select a, b from e union select s, e.b from w join e on e.a = w.x) select distinct e.a, e.b from e where exists (select 1 from w where w.s = e.b and w.x = e.a) or (exists (select 1 from w where w.s = w.x and (w.s = e.a or exists (select 1 from w v where v.s = w.s and v.x = e.a))) and exists (select 1 from w where w.s = w.x and (w.s = e.b or exists (select 1 from w v where v.s = e.b and v.x = w.s))))")
+REACH = "r(s, x) as (select a, b from e union select r.s, e.b from r join e on e.a = r.x), comp as (select p.s as id, min(p.x) as c from r p join r q on q.s = p.x and q.x = p.s group by 1)"
+
+
+@query(f"with recursive e as (select distinct l_partkey as a, l_suppkey as b from lineitem where l_partkey in (select l_suppkey from lineitem)), {REACH} select e.a, e.b, i.c as component from e join comp i on i.id = e.a join comp j on j.id = e.b and j.c = i.c")
 def cycle_edges(spark, d):
-    """Edges on or between cycles."""
-    return graph.on_cycles(table(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")))
+    """Edges on cycles, with the strongly connected component."""
+    return cycles.cycle_edges(table(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")))
+
+
+#: Of each part the suppliers of its dearest and its cheapest line: two edges a node, with cycles among the small ids.
+EXTREMES = "(select l_partkey as a, arg_max(l_suppkey, (l_extendedprice, l_suppkey)) as b from lineitem group by 1 union select l_partkey, arg_min(l_suppkey, (l_extendedprice, l_suppkey)) from lineitem group by 1)"
+
+
+def _extremes(spark, d):
+    price = F.struct("l_extendedprice", "l_suppkey")
+    two = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("a")).agg(F.max_by("l_suppkey", price).alias("hi"), F.min_by("l_suppkey", price).alias("lo"))
+    return two.select("a", F.explode(F.array_distinct(F.array("hi", "lo"))).alias("b"))
+
+
+@query(
+    f"with recursive e as {EXTREMES}, {REACH}, k as (select e.a, e.b, i.c from e join comp i on i.id = e.a join comp j on j.id = e.b and j.c = i.c),"
+    " f(c, x, n) as (select distinct c, c, 0 from comp union select f.c, k.b, f.n + 1 from f join k on k.a = f.x and k.c = f.c where f.n < 64), df as (select c, x, min(n) as n from f group by 1, 2),"
+    " g(c, x, n) as (select distinct c, c, 0 from comp union select g.c, k.a, g.n + 1 from g join k on k.b = g.x and k.c = g.c where g.n < 64), dg as (select c, x, min(n) as n from g group by 1, 2),"
+    " len as (select df.c, min(df.n) + 1 as len from df join k on k.a = df.x and k.b = df.c group by 1),"
+    " p(c, path, x, n) as (select c, [c], c, 0 from len union all select p.c, list_append(p.path, k.b), k.b, p.n + 1 from p join k on k.a = p.x and k.c = p.c join df on df.c = p.c and df.x = k.b and df.n = p.n + 1 join dg on dg.c = p.c and dg.x = k.b join len on len.c = p.c where dg.n + p.n + 1 = len.len)"
+    " select p.c as component, min(list_append(p.path, p.c)) as cycle from p join k on k.a = p.x and k.b = p.c join len on len.c = p.c and len.len = p.n + 1 group by 1"
+)
+def canonical_cycles(spark, d):
+    """One cycle of each strongly connected component: the shortest through its smallest node, then the first."""
+    return cycles.canonical_cycles(_extremes(spark, d))
+
+
+@query(
+    f"with recursive e as (select a, b, a || '-' || b as edge from {EXTREMES} where a <> b), n as (select p_partkey as id, 1 + (p_size - 1) // 10 as band from part),"
+    " bp as (select b as id, arg_min(a, (-coalesce(band, 99), a)) as nxt from e left join n on n.id = e.a group by 1), fp as (select a as id, arg_min(b, (coalesce(band, 99), b)) as nxt from e left join n on n.id = e.b group by 1),"
+    " wb(anchor, path) as (select id, [id] from n union all select anchor, list_prepend(bp.nxt, path) from wb join bp on bp.id = path[1] where not list_contains(path, bp.nxt)), b as (select anchor, arg_max(path, len(path)) as path from wb group by 1),"
+    " wf(anchor, path, back) as (select anchor, path, len(path) - 1 from b union all select anchor, list_append(path, fp.nxt), back from wf join fp on fp.id = path[-1] where not list_contains(path, fp.nxt)), w as (select anchor, arg_max(path, len(path)) as path, any_value(back) as back from wf group by 1 having max(len(path)) > 1),"
+    " v as (select anchor, unnest(path) as id from w), t as (select anchor, count(distinct edge) as touched from (select v.anchor, e.edge from v join e on e.a = v.id union all select v.anchor, e.edge from v join e on e.b = v.id) group by 1)"
+    " select anchor, back as n_before, len(path) - back - 1 as n_after, path[back] as before, path[back + 2] as after, path[1] as first, path[-1] as last, touched - len(path) + 1 as branches from w join t using (anchor)"
+)
+def progression_walks(spark, d):
+    """The greedy progression around every node: predecessors from the highest band, successors in the lowest, branches left aside."""
+    edges = _extremes(spark, d).where("a <> b").select(F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string")).alias("edge"), "a", "b")
+    nodes = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.lit(1) + F.floor((F.col("p_size") - 1) / 10)).cast("int").alias("band"))
+    return walks.progression_summary(walks.progressions(nodes, edges), edges)
+
+
+KINDS_OF_PARTS = "(select distinct 'w' as a, 'b:' || p_brand as b from part union select distinct 'b:' || p_brand, 't:' || p_type from part union select 'b:' || p_brand, 'p:' || p_partkey from part union select 't:' || p_type, 'p:' || p_partkey from part)"
+
+
+@query(
+    f"with recursive e as {KINDS_OF_PARTS}, w(id, path) as (select 'w', ['w'] union all select e.b, list_append(path, e.b) from w join e on e.a = w.id), p as (select 'p:' || p_partkey as id, case when p_size > 25 then ['w', 'b:' || p_brand, 't:' || p_type, 'p:' || p_partkey] when p_size > 20 then ['w', 't:' || p_type, 'p:' || p_partkey] end as liked from part),"
+    " c as (select p.id, liked, count(*) as n_paths, coalesce(bool_or(path = liked), false) as has_liked, arg_min(path, (len(path), path)) as shortest from p join w on w.id = p.id group by 1, 2)"
+    " select id, n_paths, case when has_liked then liked else shortest end as path, case when has_liked then 'preferred' else 'shortest' end as basis from c"
+)
+def taxonomy_all_paths(spark, d):
+    """The root path of each leaf of a taxonomy with several parents: the preferred one where it is one of all, else the shortest, then the first; and how many there are."""
+    p = table(spark, d, "part").select(F.concat(F.lit("b:"), "p_brand").alias("brand"), F.concat(F.lit("t:"), "p_type").alias("type"), F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("id"), "p_size")
+    edges = p.select(F.explode(F.array(*[F.struct(a.alias("a"), b.alias("b")) for a, b in ((F.lit("w"), F.col("brand")), (F.col("brand"), F.col("type")), (F.col("brand"), F.col("id")), (F.col("type"), F.col("id")))])).alias("e")).select("e.*").distinct()
+    liked = F.when(F.col("p_size") > 25, F.array(F.lit("w"), "brand", "type", "id")).when(F.col("p_size") > 20, F.array(F.lit("w"), "type", "id"))
+    out = walks.resolve_paths(edges, p.select("id"), preferred=p.select("id", liked.alias("path")).where("path is not null"))
+    return out.join(walks.path_counts(edges), "id").select("id", F.col("n_paths").cast("long").alias("n_paths"), "path", "basis")
 
 
 @query(f"with s as (select 'r1' as id, 0 as depth union all select b, 1 from {TREE} where a = 'r1' union all select e2.b, 2 from {TREE} e1 join {TREE} e2 on e2.a = e1.b where e1.a = 'r1') select id, depth, (select greatest(count(*) - 12, 0) from s) as hidden from s order by depth, id limit 12")
@@ -97,7 +155,7 @@ def taxonomy_paths(spark, d):
 
 @query("select o_custkey as grp, o_orderkey as a, nxt as b from (select o_custkey, o_orderkey, lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as nxt from orders) where nxt is not null")
 def prog_chain(spark, d):
-    """Adjacent pairs of a progression."""
+    """Adjacent pairs of a progression."""
     return graph.chain_edges(table(spark, d, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderkey")
 
 
@@ -118,7 +176,7 @@ def graph_validation(spark, d):
 
 @query("select l_partkey as a, l_suppkey as b, count(*) as evidence, case when count(distinct l_returnflag) > 1 then 72 else 52 end as confidence from lineitem group by 1, 2")
 def trust_relations(spark, d):
-    """Edges merged with their evidence."""
+    """Pairs with how much speaks for them, in two steps of confidence."""
     return table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).agg(F.count("*").alias("evidence"), F.when(F.count_distinct("l_returnflag") > 1, 72).otherwise(52).alias("confidence"))
 
 
