@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import canonical
+
 
 def counted(rows: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     """(rule, n) of each condition, in one pass."""
@@ -69,9 +71,8 @@ def typed_id(prefix: str, parts: list[Column], size: int = 16) -> Column:
 
 
 def forbidden_keys(rows: DataFrame, key: str, json: str, names: list[str]) -> DataFrame:
-    """(key, name) of the forbidden names that stand as keys anywhere in a JSON text."""
-    hit = F.filter(F.array(*map(F.lit, names)), lambda n: F.regexp_like(F.col(json), F.concat(F.lit('"'), n, F.lit(r'"\s*:'))))
-    return rows.select(key, F.explode(hit).alias("name"))
+    """(key, name) of the forbidden names that are keys of a JSON text, at any depth; malformed texts have none."""
+    return canonical.forbidden(rows, key, json, names).select(key, "name").distinct()
 
 
 def quote_box(lines: DataFrame, page: str, order: str, text: str, boxes: list[str], quotes: DataFrame, quote: str) -> DataFrame:

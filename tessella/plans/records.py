@@ -158,12 +158,15 @@ def ref_resolution(spark, d):
     return resolve.resolve(_requests(spark, d), "request", keys)
 
 
-@query(f"with {KEYS}, {ASKED}, counts as (select request, count(*) as times from (select p_name as request from part union all select p_partkey::varchar from part union all select 'no such part') group by 1) select request, times, case count(distinct code) when 0 then 'missing' when 1 then 'found' else 'ambiguous' end as status from asked left join keys using (key) join counts using (request) group by 1, 2")
+@query(f"with {KEYS}, ordered as (select p_name as request, 2 * p_partkey as place from part union all select p_partkey::varchar, 2 * p_partkey + 1 from part union all select 'no such part', -1), first as (select request, upper(trim(request)) as key, min(place) as place, count(*) as times from ordered group by 1) select row_number() over (order by place) as ordinal, request, times, status from (select request, place, times, case count(distinct code) when 0 then 'missing' when 1 then 'found' else 'ambiguous' end as status from first left join keys using (key) group by 1, 2, 3)")
 def batch_lookup(spark, d):
-    """Requests with repeats, each resolved once."""
-    keys = resolve.reference_keys(table(spark, d, "part"), "p_partkey", [F.col("p_name")])
-    asked = _requests(spark, d).withColumn("ordinal", F.xxhash64("request"))
-    return resolve.batch_lookup(asked, "ordinal", "request", keys).select("request", "times", "status")
+    """Requests with repeats, each resolved once, in the order in which they first came."""
+    p = table(spark, d, "part")
+    keys = resolve.reference_keys(p, "p_partkey", [F.col("p_name")])
+    asked = p.select(F.explode(F.array(F.struct(F.col("p_name").alias("request"), (2 * F.col("p_partkey")).alias("place")), F.struct(F.col("p_partkey").cast("string").alias("request"), (2 * F.col("p_partkey") + 1).alias("place")))).alias("r")).select("r.*")
+    asked = asked.unionByName(spark.createDataFrame([("no such part", -1)], "request string, place long"))
+    found = resolve.batch_lookup(asked, "place", "request", keys)
+    return resolve.numbered(found, "ordinal").select(F.col("number").alias("ordinal"), "request", "times", "status")
 
 
 @query("with r as (select o_orderkey, trim(x) as request from (select o_orderkey, unnest(string_split(replace(o_orderpriority || '|' || o_orderstatus, '-', '|'), '|')) as x from orders) where trim(x) <> '') select request, count(distinct o_orderkey) as n from r group by 1")
@@ -293,10 +296,21 @@ def page_scan(spark, d):
 PAGE_TEXT = "trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->|<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g'))"
 
 
-@query(f"with t as (select page_id, {PAGE_TEXT} as t from pages) select page_id, 0 as block, case when regexp_matches(t, '^#{{1,6}}\\s') then 'heading' when regexp_matches(t, '^([-*+]|[0-9]+\\.)\\s') then 'list' when regexp_matches(t, '^>') then 'quote' else 'paragraph' end as kind, trim(regexp_replace(t, '^(#{{1,6}}\\s+|[-*+]\\s+|[0-9]+\\.\\s+|>\\s*)', '')) as text from t where t <> ''")
+#: Lines of a page: what a block begins or ends is a line break, headings, items and quotes get their marks.
+_MARKED = "regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g'), '\\s+', ' ', 'g')"
+for _tag, _mark in (("<h[1-6]\\b[^>]*>", "# "), ("<li\\b[^>]*>", "- "), ("<blockquote\\b[^>]*>", "> ")):
+    _MARKED = f"regexp_replace({_MARKED}, '(?i){_tag}', chr(10) || '{_mark}', 'g')"
+_MARKED = f"regexp_replace(regexp_replace({_MARKED}, '(?i)</?(?:p|div|br|ul|ol|table|tr|article|section|header|footer|nav|main|title|h[1-6]|li|blockquote)\\b[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
+_ENTITIES = f"replace(replace(replace(replace(replace({_MARKED}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&')"
+
+
+@query(
+    f"with l as (select page_id, list_filter(list_transform(string_split({_ENTITIES}, chr(10)), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), lambda x: x <> '') as lines from pages), b as (select page_id, unnest(lines) as x, unnest(range(len(lines))) as block from l)"
+    " select page_id, cast(block as integer) as block, case when regexp_matches(x, '^#{1,6}\\s') then 'heading' when regexp_matches(x, '^([-*+]|[0-9]+\\.)\\s') then 'list' when starts_with(x, '>') then 'quote' else 'paragraph' end as kind, trim(regexp_replace(x, '^(#{1,6}\\s+|[-*+]\\s+|[0-9]+\\.\\s+|>\\s*)', '')) as text from b"
+)
 def page_text(spark, d):
-    """The text of pages, as typed blocks."""
-    p = table(spark, d, "pages").select("page_id", io.html_text(F.col("html")).alias("text"))
+    """Pages as typed blocks, split before white space is collapsed."""
+    p = table(spark, d, "pages").select("page_id", io.html_lines(F.col("html")).alias("text"))
     return p.select("page_id", F.posexplode(io.markdown_blocks(F.col("text"))).alias("block", "b")).select("page_id", "block", "b.kind", "b.text")
 
 
@@ -319,12 +333,40 @@ def stable_json(spark, d):
     return io.stable_json(table(spark, d, "nation"))
 
 
-MANIFEST = {'customer': ['c_custkey', 'c_mktsegment', 'c_name', 'c_nationkey'], 'documents': ['doc_id', 'lang', 'n_chars', 'source', 'text'], 'conversations': ['conv_id', 'role', 'text', 'turn'], 'benchmark': ['item_id', 'text'], 'labels': ['doc_id', 'quality', 'toxic']}
+#: Columns of all tables, by how their values become text.
+MANIFEST = {
+    "benchmark": "item_id text",
+    "conversations": "conv_id role text turn",
+    "customer": "c_acctbal:number c_custkey c_mktsegment c_name c_nationkey",
+    "documents": "doc_id lang n_chars source text",
+    "embeddings": "embedding:vector label vec_id",
+    "events": "event_id event_type props ts:time user_id value:number",
+    "labels": "doc_id quality toxic",
+    "lineitem": "l_discount:number l_extendedprice:number l_linenumber l_linestatus l_orderkey l_partkey l_quantity:number l_returnflag l_shipdate:time l_suppkey l_tax:number",
+    "nation": "n_name n_nationkey n_regionkey",
+    "orders": "o_custkey o_orderdate:time o_orderkey o_orderpriority o_orderstatus o_totalprice:number",
+    "pages": "html page_id url",
+    "part": "p_brand p_name p_partkey p_retailprice:number p_size p_type",
+    "region": "r_name r_regionkey",
+    "supplier": "s_acctbal:number s_name s_nationkey s_suppkey",
+}
+_SQL_TEXT = {"": "{c}::varchar", "number": "floor({c} * 1000000)::bigint::varchar", "time": "strftime({c}, '%Y-%m-%d %H:%M:%S.%f')", "vector": "array_to_string(list_transform({c}, lambda x: floor(x::double * 1000000)::bigint::varchar), ',')"}
+
+
+def _manifest_sql(name: str) -> str:
+    cells = [c.partition(":") for c in MANIFEST[name].split()]
+    text = " || chr(31) || ".join(f"coalesce({_SQL_TEXT[kind].format(c=c)}, '')" for c, _, kind in cells)
+    return f"select '{name}' as name, count(*) as n_rows, sha256(coalesce(sum(('0x' || substr(md5({text}), 1, 15))::bigint::decimal(38,0)), 0)::varchar) as digest from {name}"
+
+
+def _cell(c: str, kind: str):
+    as_text = {"": lambda x: x.cast("string"), "number": lambda x: F.floor(x * 1000000).cast("string"), "time": lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss.SSSSSS"), "vector": lambda x: F.array_join(F.transform(x, lambda v: F.floor(v.cast("double") * 1000000).cast("string")), ",")}
+    return as_text[kind](F.col(c)).alias(c)
 
 
-@query("select 'customer' as name, count(*) as n_rows, sha256(coalesce(sum(('0x' || substr(md5(coalesce(c_custkey::varchar, '') || chr(31) || coalesce(c_mktsegment::varchar, '') || chr(31) || coalesce(c_name::varchar, '') || chr(31) || coalesce(c_nationkey::varchar, '')), 1, 15))::bigint::decimal(38,0)), 0)::varchar) as digest from customer union all select 'documents' as name, count(*) as n_rows, sha256(coalesce(sum(('0x' || substr(md5(coalesce(doc_id::varchar, '') || chr(31) || coalesce(lang::varchar, '') || chr(31) || coalesce(n_chars::varchar, '') || chr(31) || coalesce(source::varchar, '') || chr(31) || coalesce(text::varchar, '')), 1, 15))::bigint::decimal(38,0)), 0)::varchar) as digest from documents union all select 'conversations' as name, count(*) as n_rows, sha256(coalesce(sum(('0x' || substr(md5(coalesce(conv_id::varchar, '') || chr(31) || coalesce(role::varchar, '') || chr(31) || coalesce(text::varchar, '') || chr(31) || coalesce(turn::varchar, '')), 1, 15))::bigint::decimal(38,0)), 0)::varchar) as digest from conversations union all select 'benchmark' as name, count(*) as n_rows, sha256(coalesce(sum(('0x' || substr(md5(coalesce(item_id::varchar, '') || chr(31) || coalesce(text::varchar, '')), 1, 15))::bigint::decimal(38,0)), 0)::varchar) as digest from benchmark union all select 'labels' as name, count(*) as n_rows, sha256(coalesce(sum(('0x' || substr(md5(coalesce(doc_id::varchar, '') || chr(31) || coalesce(quality::varchar, '') || chr(31) || coalesce(toxic::varchar, '')), 1, 15))::bigint::decimal(38,0)), 0)::varchar) as digest from labels")
+@query(" union all ".join(map(_manifest_sql, MANIFEST)))
 def generation_manifest(spark, d):
-    """Row counts and digests of whole tables that don't depend on the order of rows."""
-    return io.manifest({n: table(spark, d, n).select(*c) for n, c in MANIFEST.items()})
+    """Row counts and digests of all tables, whole, that don't depend on the order of rows."""
+    return io.manifest({n: table(spark, d, n).select(*[_cell(*c.partition(":")[::2]) for c in cols.split()]) for n, cols in MANIFEST.items()})
 
 

@@ -143,7 +143,7 @@ def subject_meta(spark, d):
     return table(spark, d, "part").select("p_partkey", F.lower(F.replace(F.trim("p_brand"), F.lit("#"), F.lit("_"))).alias("slug"), F.coalesce(F.nullif(F.trim("p_name"), F.lit("")), F.lit("untitled")).alias("title"), subs.alias("subskills"))
 
 
-@query("with g as (select p_partkey, p_name, p_type, unnest(case when p_size % 3 = 0 then [7, 8, 9] when p_size % 3 = 1 then [7] else [8, 9] end) as grade from part), n as (select *, row_number() over (partition by p_type, grade order by p_partkey) as k from g) select p_partkey, grade, upper(substr(p_type, 1, 3)) || '-H4G' || grade || '-' || case when contains(p_name, 'red') then 'RED' else 'GEN' end || '-' || lpad(k::varchar, 3, '0') as code from n")
+@query("with g as (select p_partkey, p_name, p_type, unnest(case when p_size % 3 = 0 then [7, 8, 9] when p_size % 3 = 1 then [7] else [8, 9] end) as grade from part), n as (select *, row_number() over (partition by p_type, grade order by p_partkey) as k from g) select p_partkey, grade, upper(substr(p_type, 1, 3)) || '-H4G' || grade || '-' || case when contains(p_name, 'red') then 'RED' else 'GEN' end || '-' || case when k < 1000 then lpad(k::varchar, 3, '0') else k::varchar end as code from n")
 def raw_standards(spark, d):
     """Raw items per grade, with a code of subject, stage, inferred domain and number."""
     size = F.col("p_size")
@@ -151,7 +151,7 @@ def raw_standards(spark, d):
     g = table(spark, d, "part").select("p_partkey", "p_name", "p_type", F.explode(grades).alias("grade"))
     k = F.row_number().over(Window.partitionBy("p_type", "grade").orderBy("p_partkey"))
     domain = F.when(F.contains("p_name", F.lit("red")), "RED").otherwise("GEN")
-    number = F.when(k < 1000, F.lpad(k.cast("string"), 3, "0")).otherwise(F.substring(k.cast("string"), 1, 3))
+    number = F.when(k < 1000, F.lpad(k.cast("string"), 3, "0")).otherwise(k.cast("string"))
     return g.select("p_partkey", "grade", F.concat(F.upper(F.substring("p_type", 1, 3)), F.lit("-H4G"), F.col("grade").cast("string"), F.lit("-"), domain, F.lit("-"), number).alias("code"))
 
 
@@ -262,7 +262,7 @@ def quote_boxes(spark, d):
 
 @query("with j as (select event_id, case when event_id % 3 = 0 then '{\"meta\": {\"local_path\": 1}, \"p\": ' || props || '}' when event_id % 3 = 1 then '{\"api_key\" : \"x\"}' else props end as j from events), f as (select unnest(['local_path', 'api_key', 'prompt']) as name) select event_id, name from j, f where regexp_matches(j, '\"' || name || '\"\\s*:')")
 def forbidden_key_scan(spark, d):
-    """M6: forbidden names that stand as keys anywhere in a JSON text."""
+    """M6: forbidden names that are keys of a JSON text, at any depth."""
     n = F.col("event_id") % 3
     j = F.when(n == 0, F.concat(F.lit('{"meta": {"local_path": 1}, "p": '), "props", F.lit("}"))).when(n == 1, F.lit('{"api_key" : "x"}')).otherwise(F.col("props"))
     return S.forbidden_keys(table(spark, d, "events").select("event_id", j.alias("j")), "event_id", "j", ["local_path", "api_key", "prompt"])

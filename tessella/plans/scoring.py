@@ -112,10 +112,10 @@ def bridge_margin(spark, d):
     return score.best_with_margin(x, ["a"], "score", "b")
 
 
-@query(f"with t as (select distinct doc_id, unnest({TOK.format(c='text')}) as token from documents) select token, count(*) as df from t group by 1 having count(*) >= 20")
+@query(f"with t as (select distinct doc_id, unnest({TOK.format(c='text')}) as token from documents) select token, count(*) as df from t group by 1")
 def document_frequency(spark, d):
     """Document frequencies of words."""
-    return stats.document_frequency(_tokens(table(spark, d, "documents"), "doc_id", "text", "doc"), "doc", "token").where("df >= 20")
+    return stats.document_frequency(_tokens(table(spark, d, "documents"), "doc_id", "text", "doc"), "doc", "token")
 
 
 @query(f"with t as (select doc_id, unnest({TOK.format(c='text')}) as token from documents), f as (select token, count(*) as df from t group by 1), n as (select count(*) as n from documents), b as (select item_id, unnest({TOK.format(c='text')}) as token from benchmark) select item_id, cast(floor(sum(cast(ln(1 + (n + 1) / (coalesce(df, 0) + 1)) as decimal(18, 6))) * 1000 + 0.5) as bigint) as idf_thousandths from b left join f using (token), n group by 1")
@@ -206,12 +206,27 @@ def redact_pii(spark, d):
     return table(spark, d, "documents").select("doc_id", text.alias("text"), n.alias("redactions"), kinds.alias("categories"))
 
 
-@query("select doc_id, list_filter(['broken_delimiter', 'content_too_short'], lambda f: (f = 'broken_delimiter' and regexp_matches(trim(text), '\\|{2,}|；\\s*；|，，|。。')) or (f = 'content_too_short' and length(trim(text)) < 5)) as flags from documents where trim(text) <> ''")
+FLAGS = {
+    "unbalanced_quote": "len(regexp_extract_all(t, '[“‘]')) <> len(regexp_extract_all(t, '[”’]'))",
+    "possible_truncation": "regexp_matches(regexp_replace(t, '[”’」』\\])]*$', ''), '([，,；;：:]|(结合|例如|比如|以及|通过|并且|其中|包括))$')",
+    "possible_ocr_fragment": "regexp_matches(t, '[；;]\\s*(特点|要求|教师|学生|内容)[，,；;]')",
+    "broken_delimiter": "regexp_matches(t, '\\|{2,}|；\\s*；|，，|。。')",
+    "placeholder_or_fragment": "field = 'practice' and (length(t) < 8 or regexp_matches(t, '^（[^）]{0,24}｜相关）[；;]?[^，。；;]{0,10}$'))",
+    "content_too_short": "field <> 'standard' and length(t) < 5",
+}
+
+
+#: Texts, and the first pieces of them between commas, which are short and end in the middle.
+FIELDS = "(select doc_id, 'context' as field, trim(coalesce(text, ''), ' ') as t from documents union all select doc_id, 'practice', trim(split_part(coalesce(text, ''), ',', 1) || ',', ' ') from documents union all select doc_id, 'standard', trim(string_split(coalesce(text, ''), ' ')[1], ' ') from documents)"
+
+
+@query("select doc_id, field, case when t = '' then [] else list_filter([" + ", ".join(f"case when {c} then '{n}' end" for n, c in FLAGS.items()) + f"], lambda f: f is not null) end as flags from {FIELDS}")
 def quality_flags(spark, d):
-    """Flags of a field."""
-    f = T.quality_flags("context", F.col("text"))
-    keep = F.filter(f, lambda x: x.isin("broken_delimiter", "content_too_short"))
-    return table(spark, d, "documents").where("trim(text) <> ''").select("doc_id", keep.alias("flags"))
+    """All flags of three kinds of fields: whole texts, pieces that end in a comma, first words."""
+    text = F.coalesce("text", F.lit(""))
+    fields = {"context": text, "practice": F.concat(F.split_part(text, F.lit(","), F.lit(1)), F.lit(",")), "standard": F.get(F.split(text, " "), 0)}
+    rows = [F.struct(F.lit(n).alias("field"), T.quality_flags(n, c).alias("flags")) for n, c in fields.items()]
+    return table(spark, d, "documents").select("doc_id", F.explode(F.array(*rows)).alias("r")).select("doc_id", "r.*")
 
 
 @query("select doc_id, list_filter(list_filter(list_transform(string_split_regex(text, '[。！？；;\\n.!?]'), lambda s: trim(s)), lambda s: s <> ''), lambda s: contains(s, 'license') or contains(s, 'License'))[1:2] as evidence from documents where contains(text, 'icense')")

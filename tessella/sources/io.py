@@ -40,10 +40,25 @@ def markdown_blocks(text: Column) -> Column:
     return F.transform(lines, lambda x: F.struct(kind(x).alias("kind"), F.trim(F.regexp_replace(x, r"^(#{1,6}\s+|[-*+]\s+|\d+\.\s+|>\s*)", "")).alias("text")))
 
 
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+BLOCK_TAGS = r"(?i)</?(?:p|div|br|ul|ol|table|tr|article|section|header|footer|nav|main|title|h[1-6]|li|blockquote)\b[^>]*>"
+
+
+def html_lines(html: Column) -> Column:
+    """A page as lines: where a block begins or ends there is a line break; headings, list items and quotes get the marks that markdown_blocks reads."""
+    t = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"\s+", " ")
+    for tag, mark in ((r"(?i)<h[1-6]\b[^>]*>", "# "), (r"(?i)<li\b[^>]*>", "- "), (r"(?i)<blockquote\b[^>]*>", "> ")):
+        t = F.regexp_replace(t, tag, "\n" + mark)
+    t = F.regexp_replace(F.regexp_replace(t, BLOCK_TAGS, "\n"), "<[^>]+>", " ")
+    for name, to in ENTITIES:
+        t = F.replace(t, F.lit(name), F.lit(to))
+    return F.regexp_replace(t, " +", " ")
+
+
 def html_text(html: Column) -> Column:
     """The text of a page: scripts, styles, comments and tags go, the five named entities are read."""
     t = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]+>", " ")
-    for name, to in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    for name, to in ENTITIES:
         t = F.replace(t, F.lit(name), F.lit(to))
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
