@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, quality
-from ..streaming import metrics
+from ..streaming import limits, metrics
 from .registry import query
 from .tables import table
 
@@ -142,3 +142,19 @@ def streaming_windows(spark, d):
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     return metrics.run_stream(metrics.windowed(stream, "ts", "event_type", "value", "6 hours"), "windows")
+
+
+def _events(spark, d):
+    return spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
+
+
+@query("select event_id, user_id::varchar as key, place, place <= 2 as allowed, greatest(0, 2 - place) as remaining from (select event_id, user_id, row_number() over (partition by user_id, date_trunc('hour', ts) order by ts, event_id) as place from events)")
+def rate_limit_stream(spark, d):
+    """S1 as a stream: a count per client and hour in state, with a timer that drops it."""
+    return limits.appended(limits.limited(_events(spark, d), "user_id", "ts", 2, "3600 seconds"), "limits")
+
+
+@query("select cast(epoch_us(day) // 86400000000 as bigint) as day, epoch_us(ts) as us, event_id from (select event_id, ts, date_trunc('day', ts) as day, row_number() over (partition by date_trunc('day', ts) order by ts desc, event_id desc) as r from events) where r <= 5 and day + interval 1 day <= (select max(ts) from events)")
+def retention_stream(spark, d):
+    """S4, B6 as a stream: the newest events of each day, given when the watermark has passed it."""
+    return limits.newest(limits.appended(limits.retained(_events(spark, d), "ts", 5), "kept"), 5)
