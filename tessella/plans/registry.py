@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import audits, graphs, lifecycle, matching, pages, programs, records, resources, reviews, scoring, trees, understanding  # noqa: E402, F401
+from . import audits, graphs, lifecycle, matching, pages, programs, records, resources, reviews, scoring, searches, trees, understanding  # noqa: E402, F401
