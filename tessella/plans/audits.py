@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import quality, summaries
-from ..scratch import scratch_dir
+from ..scratch import fresh
 from ..sources import io
 from .registry import query
 from .tables import table
 
 
 def _path(spark, name: str) -> str:
-    return f"{scratch_dir(spark)}/io/{name}-{uuid.uuid4().hex}"
+    return fresh(spark, "io", name)
 
 
 @query("select c_custkey, c_name, c_mktsegment from customer")

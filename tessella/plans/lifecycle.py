@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import incremental
-from ..scratch import scratch_dir
+from ..scratch import fresh
 from ..sources import generations
 from .registry import query
 from .tables import table
@@ -35,7 +33,7 @@ def quotes(stop_after: int | None = None):
 )
 def incremental_run(spark, d):
     """Work on distinct inputs by a ledger: a run that stops after a few batches, one that goes on where it stopped, retries with feedback."""
-    docs, path = table(spark, d, "documents"), f"{scratch_dir(spark)}/io/ledger-{uuid.uuid4().hex}"
+    docs, path = table(spark, d, "documents"), fresh(spark, "io", "ledger")
     config = {"model": "quotes", "version": "1"}
     errors = F.array_compact(F.array(F.when(~F.col("text").contains(F.col("output")), "not in the text"), F.when(F.length("output") < 40, "short")))
     for work in (quotes(3), quotes()):
@@ -55,7 +53,7 @@ def _stop(name: str):
 @query(" union all ".join(f"select '{t}' as name, count(*) as n_rows, true as whole from {t}" for t in TABLES))
 def published_generation(spark, d):
     """All tables published as a generation; a second writer stops before its commit, and readers still see the first, whole."""
-    root = f"{scratch_dir(spark)}/io/library-{uuid.uuid4().hex}"
+    root = fresh(spark, "io", "library")
     generations.publish(spark, root, {t: table(spark, d, t) for t in TABLES}, "first")
     try:
         generations.publish(spark, root, {"region": table(spark, d, "region")}, "second", step=_stop)

@@ -8,7 +8,6 @@ is closed already here, so that none begins anew. A restart goes on from the che
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..scratch import scratch_dir
+from ..scratch import fresh
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -125,7 +124,7 @@ def appended(stream: DataFrame, name: str, base: str | None = None) -> DataFrame
     Each micro-batch is a folder named by its number, so one that runs again after a failure replaces
     itself; with the same base a stopped stream goes on."""
     spark = stream.sparkSession
-    base = base or f"{scratch_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    base = base or fresh(spark, "streams", name)
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")

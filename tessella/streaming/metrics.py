@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import scratch_dir
+from ..scratch import fresh
 
 
 def rollup(events: DataFrame, dims: list[str], value: str) -> DataFrame:
@@ -52,7 +50,7 @@ def sessions(events: DataFrame, ts: str, key: str, gap: str) -> DataFrame:
 
 def run_stream(stream: DataFrame, name: str) -> DataFrame:
     """Runs a bounded stream to its end and returns what it then holds: each batch is written as Parquet, the last one read."""
-    base, last = f"{scratch_dir(stream.sparkSession)}/streams/{name}-{uuid.uuid4().hex}", []
+    base, last = fresh(stream.sparkSession, "streams", name), []
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/batch-{number}")
