@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import discard, materialize, scratch_dir
+from ..scratch import discard, fresh, materialize, scratch_dir
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -45,4 +45,4 @@ def hash_fraction(col: str, n: int, of: int):
     return F.pmod(F.xxhash64(F.col(col), F.lit("sample")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
 
 
-__all__ = ["crc_mod", "discard", "folds", "hash_fraction", "materialize", "scratch_dir", "ship", "table"]
+__all__ = ["crc_mod", "discard", "folds", "fresh", "hash_fraction", "materialize", "scratch_dir", "ship", "table"]

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import discard, materialize, scratch_dir, ship
+from .runtime import discard, fresh, materialize, ship
 
 # The format's own.
 END = "\r\n"
@@ -218,7 +218,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str | None =
     Everything returned comes from the archives: bytes and digest are counted anew from the payloads.
     """
     spark = pages.sparkSession
-    path = path or f"{scratch_dir(spark)}/archives-{uuid.uuid4().hex}"
+    path = path or fresh(spark, "archives", "pages")
     write_archives(pages, path, id_col, url_col, payload_col, least, compression)
     kind = pages.schema[id_col].dataType
     out = resolve(read_archives(spark, path))

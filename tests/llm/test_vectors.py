@@ -3,11 +3,13 @@
 import base64
 import hashlib
 import math
+import os
 
 import duckdb
 import numpy as np
 import pytest
 
+from tessella import scratch
 from tessella.llm import queries, vector_codes, warc, whitening
 
 DIR = "/root/testdata/sf0.001"
@@ -216,3 +218,13 @@ def test_codes_of_no_rows_and_ties(spark):
     assert {r.code for r in same} == {"00" * 8} and {(r.error, r.label_error) for r in same} == {(0, 0)}
     with pytest.raises(ValueError):
         vector_codes.vector_codes(vectors(spark, [(1, [0.5] * 7, 0)]))
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_no_query_leaves_files_behind_its_scope(spark, name):
+    base = scratch.scratch_dir(spark).removeprefix("file://")
+    files = lambda: {os.path.join(d, f) for d, _, names in os.walk(base) for f in names}
+    before = files()
+    with scratch.scope(spark):
+        queries.QUERIES[name](spark, DIR).write.format("noop").mode("overwrite").save()
+    assert files() == before
