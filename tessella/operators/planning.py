@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# The lines of a plan that open a unit (its title is the second group) and that state a goal.
+UNIT_LINE = r"(?i)^(?:单元|Unit)\s*([0-9一二三四五六七八九十]*)\s*[.、:：-]?\s*(.+)$"
+GOAL_LINE = r"(?:学习目标|目标|goal)\s*[:：]\s*(.+)$"
+
 
 def parse_units(lines: DataFrame, plan: str, ordinal: str, line: str) -> DataFrame:
     """(plan, unit_no, title, goals): unit lines open a unit, goal lines belong to the latest one before them."""
     w = Window.partitionBy(plan).orderBy(ordinal)
-    unit = F.regexp_extract(F.trim(line), r"(?i)^(?:单元|Unit)\s*([0-9一二三四五六七八九十]*)\s*[.、:：-]?\s*(.+)$", 2)
-    goal = F.regexp_extract(F.trim(line), r"(?:学习目标|目标|goal)\s*[:：]\s*(.+)$", 1)
+    unit = F.regexp_extract(F.trim(line), UNIT_LINE, 2)
+    goal = F.regexp_extract(F.trim(line), GOAL_LINE, 1)
     rows = lines.select(plan, ordinal, F.nullif(F.trim(unit), F.lit("")).alias("title"), F.nullif(F.trim(goal), F.lit("")).alias("goal"))
     rows = rows.withColumn("unit_no", F.sum(F.when(F.col("title").isNotNull(), 1).otherwise(0)).over(w)).where("unit_no > 0")
     return rows.groupBy(plan, "unit_no").agg(F.max("title").alias("title"), F.transform(F.array_sort(F.collect_list(F.when(F.col("goal").isNotNull() & F.col("title").isNull(), F.struct(ordinal, "goal")))), lambda g: g["goal"]).alias("goals"))

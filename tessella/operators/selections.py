@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .resolve import numbered
 
+# The words that count as terms.
+LATIN_WORD, HAN_RUN = "[a-z][a-z0-9_-]{2,}", r"[\p{IsHan}]{2,}"
 # The names of field sets.
 FIELDSETS = ["public", "source", "evidence", "textbook", "admin"]
 
@@ -40,9 +42,9 @@ def limited_by_group(rows: DataFrame, group: list[str], order: Column, n: int) -
 def terms(text: Column) -> Column:
     """Latin words of three characters or more and the pairs of neighbouring Han characters, each once. The text is in compatibility form."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    runs = F.regexp_extract_all(t, F.lit(r"[\p{IsHan}]{2,}"), F.lit(0))
+    runs = F.regexp_extract_all(t, F.lit(HAN_RUN), F.lit(0))
     pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda k: F.substr(r, k, F.lit(2)))))
-    return F.array_distinct(F.concat(F.regexp_extract_all(t, F.lit("[a-z][a-z0-9_-]{2,}"), F.lit(0)), pairs))
+    return F.array_distinct(F.concat(F.regexp_extract_all(t, F.lit(LATIN_WORD), F.lit(0)), pairs))
 
 
 def evaluated(golden: DataFrame, predictions: DataFrame, order: str) -> DataFrame:
