@@ -15,7 +15,7 @@ def ids(df):
 def test_all_queries_are_registered():
     import __spark_entry__
 
-    assert {*QUERIES, "pipeline"} <= set(__spark_entry__.queries()) and len(QUERIES) == 10
+    assert {*QUERIES, "pipeline"} <= set(__spark_entry__.queries()) and len(QUERIES) == 13
 
 
 def test_stages_keep_what_their_operators_keep(spark):
