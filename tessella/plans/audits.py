@@ -127,7 +127,7 @@ def readiness_matrix(spark, d):
     "with h as (select conv_id, turn, lead(turn) over (partition by conv_id order by turn, role) as next_start, role from conversations where role = 'user'), b as (select conv_id, max(turn) as last from conversations group by 1) select conv_id, turn as start, coalesce(next_start - 1, last) as stop, case when next_start is null then 'open_end' when next_start <= turn then 'conflict' else 'bounded' end as evidence from h join b using (conv_id)"
 )
 def unit_ranges(spark, d):
-    """Q10: unit ranges from the headings that begin them: each ends before the next one, the last at the end."""
+    """Ranges from the turns that begin them: each ends before the next one, the last at the end (Q10 itself: unit_boundaries)."""
     c = table(spark, d, "conversations")
     heads = c.where("role = 'user'").withColumn("next_start", F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn", "role")))
     last = c.groupBy("conv_id").agg(F.max("turn").alias("last"))

@@ -344,7 +344,7 @@ def modifier_conflicts(spark, d):
     " select id, cast(no as integer) as no, clause, case when regexp_matches(clause, '方程|图形|三角形') then 'concept' when regexp_matches(clause, '实验|鉴赏|reading|writing|Reading') then 'practice' else 'knowledge' end as kind from c"
 )
 def clauses(spark, d):
-    """J25 (clauses only, no borrowed objects), J26: clauses of a text and the kind of component each is."""
+    """Plain clauses of a text and the kind of component each is (J25 with borrowed objects: borrowed_objects)."""
     return K.clauses(_phrases(spark, d), "id", "phrase")
 
 
@@ -382,6 +382,6 @@ CASES = {"units": "方程|次|元", "reading": "(?i)reading|诗词", "body": "
 
 @query(f"with c as (select id, list_filter([{', '.join(f'case when regexp_matches(phrase, {chr(39)}{p}{chr(39)}) then {chr(39)}{n}{chr(39)} end' for n, p in CASES.items())}], lambda x: x is not null) as cases from {SQL_PHRASE}) select id, case when len(cases) = 0 then ['default'] else cases end as cases, len(cases) >= 4 as hardest from c")
 def difficulty_cases(spark, d):
-    """A rule engine of patterns to cases, with a default rule (ten rules)."""
+    """Patterns to named cases, with a default (N21 itself: hard_cases, learner_difficulties; N13: cue_matches)."""
     found = U.named({n: F.col("phrase").rlike(p) for n, p in CASES.items()})
     return _phrases(spark, d).select("id", found.alias("f")).select("id", F.when(F.size("f") == 0, U.strings(["default"])).otherwise(F.col("f")).alias("cases"), (F.size("f") >= 4).alias("hardest"))
