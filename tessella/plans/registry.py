@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import audits, cues, graphs, lifecycle, matching, pages, programs, progressions, records, resources, reviews, scoring, searches, selections, statements, trees, understanding, units  # noqa: E402, F401
+from . import audits, cues, graphs, lifecycle, matching, pages, programs, progressions, records, resources, reviewed, reviews, scoring, searches, selections, statements, trees, understanding, units  # noqa: E402, F401
