@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import facets, matching, score, sequential, stats
+from ..operators import classes, facets, matching, score, sequential, stats
 from .registry import query
 from .tables import STD, std, table
 from .understanding import tokens_sql
@@ -79,37 +79,42 @@ s as (select a, b, count(*) as shared from l2 join t using (p_brand, p_size, tok
 
 
 def _pairs(spark, d):
-    p = table(spark, d, "part").withColumn("t", F.concat_ws(" ", "p_name", "p_type"))
-    rows = lambda name: p.select("p_brand", "p_size", F.col("p_partkey").alias(name), F.explode(T.words_of(F.col("t"))).alias("token"))
-    return score.token_overlap(rows("a"), rows("b"), ["p_brand", "p_size"])
+    """(pairs, members): pairs that share a token, of parts that stand for all with their brand, size, name and type."""
+    p, members = classes.grouped(table(spark, d, "part"), "p_partkey", ["p_brand", "p_size", "p_name", "p_type"])
+    rows = lambda name: p.select("p_brand", "p_size", F.col("p_partkey").alias(name), F.explode(T.words_of(F.concat_ws(" ", "p_name", "p_type"))).alias("token"))
+    return score.token_overlap(rows("a"), rows("b"), ["p_brand", "p_size"]), members
 
 
 @query(f"with {PAIRS} select a, b, shared, na, nb from pairs where a <> b and shared * 10 >= 6 * (na + nb - shared)")
 def jaccard_pairs(spark, d):
     """Pairs by Jaccard, by prefix filtering."""
-    p = table(spark, d, "part").select("p_brand", "p_size", "p_partkey", T.words_of(F.concat_ws(" ", "p_name", "p_type")).alias("tokens"))
-    side = lambda name: p.select("p_brand", "p_size", F.col("p_partkey").alias(name), "tokens")
-    return matching.jaccard_join(side("a"), side("b"), ["p_brand", "p_size"], 3, 5).where("a <> b")
+    p, members = classes.grouped(table(spark, d, "part"), "p_partkey", ["p_brand", "p_size", "p_name", "p_type"])
+    side = lambda name: p.select("p_brand", "p_size", F.col("p_partkey").alias(name), T.words_of(F.concat_ws(" ", "p_name", "p_type")).alias("tokens"))
+    return classes.expanded(matching.jaccard_join(side("a"), side("b"), ["p_brand", "p_size"], 3, 5), members, "p_partkey")
 
 
 @query(f"with {PAIRS} select a, b, shared / least(na, nb) as overlap from pairs where a <> b and shared * 2 >= least(na, nb)")
 def overlap_coeff(spark, d):
     """Overlap coefficient."""
-    return _pairs(spark, d).where("a <> b and shared * 2 >= least(na, nb)").select("a", "b", score.overlap_coefficient().alias("overlap"))
+    pairs, members = _pairs(spark, d)
+    return classes.expanded(pairs.where("shared * 2 >= least(na, nb)").select("a", "b", score.overlap_coefficient().alias("overlap")), members, "p_partkey")
 
 
 @query(f"with {PAIRS}, x as (select a, b, shared / sqrt(na * nb) as score from pairs where a <> b), r as (select *, row_number() over (partition by a order by score desc, b) as k from x) select a, b, score, k from r where k <= 3")
 def block_similarity_topk(spark, d):
     """The most similar records of each."""
-    x = _pairs(spark, d).where("a <> b").select("a", "b", score.cosine_overlap().alias("score"))
-    return facets.top_per_group(x, ["a"], [F.desc("score"), F.col("b")], 3, "k")
+    x, members = _pairs(spark, d)
+    top = classes.best(x.select("a", "b", score.cosine_overlap().alias("score")), members, members, "p_partkey", 3)
+    return top.select("a", F.posexplode("best").alias("at", "x")).select("a", "x.b", "x.score", (F.col("at") + 1).alias("k"))
 
 
 @query(f"with {PAIRS}, x as (select a, b, shared / sqrt(na * nb) as score from pairs where a <> b), r as (select *, row_number() over (partition by a order by score desc, b) as k, score - lead(score, 1, 0.0) over (partition by a order by score desc, b) as margin from x) select a, b, score, margin, case when score >= 0.24 and margin >= 0.04 then 'high' when score >= 0.12 then 'medium' else 'low' end as confidence from r where k = 1")
 def bridge_margin(spark, d):
     """Best match, margin and confidence band."""
-    x = _pairs(spark, d).where("a <> b").select("a", "b", score.cosine_overlap().alias("score"))
-    return score.best_with_margin(x, ["a"], "score", "b")
+    x, members = _pairs(spark, d)
+    top = classes.best(x.select("a", "b", score.cosine_overlap().alias("score")), members, members, "p_partkey", 2)
+    # Of each part its best two, so that windows are of two rows.
+    return score.best_with_margin(top.select("a", F.explode("best").alias("x")).select("a", "x.b", "x.score"), ["a"], "score", "b")
 
 
 @query(f"with t as (select distinct doc_id, unnest({TOK.format(c='text')}) as token from documents) select token, count(*) as df from t group by 1")
