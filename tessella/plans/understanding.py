@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -260,6 +262,13 @@ def _phrases(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(at(F.col("p_partkey")), F.lit(" "), F.lower("p_type")).alias("phrase"), F.concat(at(F.col("p_size")), F.lit(" "), "p_name").alias("other"))
 
 
+def _once(rows, texts, of, tasks=64):
+    """rows with the columns of(distinct texts): equal texts are worked on once, dealt over tasks whatever their bytes."""
+    known = of(rows.select(*texts).distinct().repartition(tasks, *texts))
+    both = rows.alias("r").join(known.select(*[F.col(c).alias(f"_{c}") if c in texts else F.col(c) for c in known.columns]), reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"_{c}")) for c in texts]))
+    return both.drop(*[f"_{c}" for c in texts])
+
+
 SQL_PHRASE = f"(select p_partkey as id, {sql_list(PHRASE)}[1 + p_partkey % {len(PHRASE)}] || ' ' || lower(p_type) as phrase, {sql_list(PHRASE)}[1 + p_size % {len(PHRASE)}] || ' ' || p_name as other from part)"
 NORMAL = "trim(regexp_replace(regexp_replace(regexp_replace(lower({t}), '[，。！？；：、“”‘’（）《》【】]', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), '\\s+', ' ', 'g'))"
 
@@ -301,7 +310,7 @@ def align_tokens(spark, d):
 @query(f"select id, {sql_content_grams('phrase')} as grams from {SQL_PHRASE}")
 def content_grams(spark, d):
     """Latin words and 2- to 5-grams without stop grams."""
-    return _phrases(spark, d).select("id", F.sort_array(K.content_grams(F.col("phrase"))).alias("grams"))
+    return _once(_phrases(spark, d), ["phrase"], lambda t: t.select("phrase", F.sort_array(K.content_grams(F.col("phrase"))).alias("grams"))).select("id", "grams")
 
 
 STOP_PHRASES = "|".join(K.STOP_PHRASES)

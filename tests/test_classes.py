@@ -73,3 +73,12 @@ def test_pairs_of_rows_are_spread_out_last(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
     top = plan[: plan.index("Join")]
     assert top.count("Generate explode") == (1 if name == "neighbors_same_group" else 2) and "Aggregate" not in top
+
+
+@pytest.mark.parametrize("name", ["lexical_component", "content_grams"])
+def test_equal_texts_are_worked_on_once(spark, name):
+    """The texts are made distinct below the expensive step and joined to the rows above it."""
+    from tessella.plans.registry import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate") and "regexp" not in plan[: plan.index("Join")]
