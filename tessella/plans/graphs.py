@@ -120,7 +120,7 @@ def progression_walks(spark, d):
     """The greedy progression around every node: predecessors from the highest band, successors in the lowest, branches left aside."""
     edges = _extremes(spark, d).where("a <> b").select(F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string")).alias("edge"), "a", "b")
     nodes = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.lit(1) + F.floor((F.col("p_size") - 1) / 10)).cast("int").alias("band"))
-    return walks.progression_summary(walks.progressions(nodes, edges), edges)
+    return walks.summarized(nodes, edges)
 
 
 KINDS_OF_PARTS = "(select distinct 'w' as a, 'b:' || p_brand as b from part union select distinct 'b:' || p_brand, 't:' || p_type from part union select 'b:' || p_brand, 'p:' || p_partkey from part union select 't:' || p_type, 'p:' || p_partkey from part)"
