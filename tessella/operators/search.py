@@ -41,8 +41,9 @@ def _scored(records: DataFrame, asked: DataFrame, fields: list[str]) -> DataFram
     """(id, code, match_strength, score) of records that pass a request's filters and are relevant to it."""
     subject, band = F.coalesce("subject", F.lit("")), F.coalesce("band", F.lit(""))
     # A block of requests, bounded by BLOCK, against all records: every record is read once a block.
-    pairs = records.join(F.broadcast(asked), _matches(subject, band))
-    found = score.relevance(pairs, fields, F.col("core"), F.col("more"))
+    lowered = records.withColumns({f: F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields})
+    pairs = lowered.join(F.broadcast(asked.select("id", "subjects", "gone", "bands", "core", "more", "limit")), _matches(subject, band))
+    found = score.relevance(pairs, fields, F.col("core"), F.col("more"), lowered=True)
     return found.where((F.col("match_strength") != "irrelevant") & (F.col("score") >= LEAST_SCORE)).select("id", "code", "match_strength", "score", "limit")
 
 
