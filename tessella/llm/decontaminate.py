@@ -2,7 +2,9 @@
 
 1. Document frequencies of hashed words over the whole corpus give IDF weights.
 2. A randomised SVD (range finder with power iterations, all products distributed) of the TF-IDF
-   passages of the benchmark and of a bounded corpus sample gives a latent space.
+   passages of all items of a block gives a latent space. No sample of the corpus is in it: what it
+   must tell apart are the items, and where they have no more passages than it has dimensions, no
+   cosine to them is approximate.
 3. Every window of every text (8 to 128 words, starts 8 words apart) is projected, and its cosine to
    the benchmark passages picks candidates. A word adds at most a known number to the product with
    any passage; where the sum of these rules the cosine out, the projection is saved.
@@ -20,11 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernel import U, Words, blocks_of, bounded, collect_vector, lowered, slices
-from .runtime import discard, hash_fraction, materialize, ship
+from .runtime import discard, materialize, ship
 
 BITS = 18
 DIM = 1 << BITS
@@ -32,7 +34,6 @@ BLOCK = 4096
 STEP = 8  # words between starts of windows
 SIZES = (1, 2, 4, 8, 16)  # lengths of windows, in steps
 LONGEST = STEP * SIZES[-1]
-ITEM_WEIGHT = 50
 
 
 def slot(h: np.ndarray) -> np.ndarray:
@@ -82,8 +83,8 @@ def tfidf_row(h: np.ndarray, idf: np.ndarray, feature: np.ndarray) -> tuple[np.n
     return feature[at[known]], x[known].astype(np.float32)
 
 
-def latent_space(sample: DataFrame, items: list, idf: np.ndarray, feature: np.ndarray, rank: int, rounds: int = 1, seed: int = 5) -> np.ndarray:
-    """features x rank basis: randomised SVD of the TF-IDF rows of items and of the passages of sample(text).
+def latent_space(texts: DataFrame, idf: np.ndarray, feature: np.ndarray, rank: int, rounds: int = 1, seed: int = 5) -> np.ndarray:
+    """features x rank basis: randomised SVD of the TF-IDF rows of the passages of texts(text).
 
     Each product A'(A q) is made in one pass: tasks add their own rows' share and the shares are
     summed, so the driver gets features x rank numbers, however many rows there are.
@@ -97,7 +98,7 @@ def latent_space(sample: DataFrame, items: list, idf: np.ndarray, feature: np.nd
             out[at] += x[:, None] * (x @ q[at])
         return out
 
-    spark = sample.sparkSession
+    spark = texts.sparkSession
     tables = spark.sparkContext.broadcast((idf, feature))
     for _ in range(rounds + 1):
         shared = spark.sparkContext.broadcast(q)
@@ -109,8 +110,8 @@ def latent_space(sample: DataFrame, items: list, idf: np.ndarray, feature: np.nd
                     out += product([tfidf_row(h, *tables.value) for h in passage_list(text)], shared.value)
             yield blocks_of(out.ravel(), dim * rank, "block", "part")
 
-        found = collect_vector(sample.mapInArrow(run, "block int, part binary"), "part", "block", dim * rank, 1, "float32").reshape(dim, rank)
-        q = np.linalg.qr(found + product(items, q))[0].astype(np.float32)
+        found = collect_vector(texts.mapInArrow(run, "block int, part binary"), "part", "block", dim * rank, 1, "float32").reshape(dim, rank)
+        q = np.linalg.qr(found)[0].astype(np.float32)
     return q
 
 
@@ -129,9 +130,8 @@ def lcs(item: list[int], window: list[int]) -> int:
     return len(item) - v.bit_count()
 
 
-def searcher(block: list[tuple[int, str]], idf: np.ndarray, sample: DataFrame, rank: int, cosine: float, share: float, share_with_answer: float, answer_share: float):
+def searcher(spark: SparkSession, block: list[tuple[int, str]], idf: np.ndarray, rank: int, cosine: float, share: float, share_with_answer: float, answer_share: float):
     """A function that finds the leaks of one block of items in lower-case texts: [(row, item_id, cosine, lcs_share, answer_share)]."""
-    spark = sample.sparkSession
     words, owner, parts = [], [], []
     for k, (_, text) in enumerate(block):
         own = passage_list(text)
@@ -142,10 +142,10 @@ def searcher(block: list[tuple[int, str]], idf: np.ndarray, sample: DataFrame, r
     slots = np.unique(slot(np.concatenate(parts))) if parts else np.zeros(1, np.int64)
     feature[slots] = np.arange(len(slots))
     rows = [tfidf_row(h, idf, feature) for h in parts]
-    # Items weigh more than the sample, so that the space keeps what tells them apart.
-    heavy = [(at, x * ITEM_WEIGHT) for at, x in rows]
     rank = min(rank, len(slots))
-    basis = latent_space(sample, heavy, idf, feature, rank)
+    texts = materialize(spark.createDataFrame([(text,) for _, text in block], "text string"), "latent-items")
+    basis = latent_space(texts, idf, feature, rank)
+    discard(texts)
     latent = np.stack([x @ basis[at] for at, x in rows]) if rows else np.zeros((0, rank), np.float32)
     # Unit items: a window that is an item has cosine 1, whatever share of the item the space keeps.
     latent /= np.maximum((latent * latent).sum(1, keepdims=True), 1e-6)
@@ -232,22 +232,17 @@ def searcher(block: list[tuple[int, str]], idf: np.ndarray, sample: DataFrame, r
     return search
 
 
-def searchers(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text_col: str = "text", rank: int = 256, cosine: float = 0.5, share: float = 0.8, share_with_answer: float = 0.6, answer_share: float = 0.8, sample_docs: int = 1000, items_per_block: int = 2048) -> Iterator:
-    """A searcher for each block of items. Document frequencies cover all of docs; the latent space is
-    fitted on the items and about sample_docs documents."""
+def searchers(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text_col: str = "text", rank: int = 256, cosine: float = 0.5, share: float = 0.8, share_with_answer: float = 0.6, answer_share: float = 0.8, items_per_block: int = 2048) -> Iterator:
+    """A searcher for each block of items. Document frequencies cover all of docs, the latent space all items of the block."""
     df, n = document_frequency(docs, text_col)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32)
-    # Written once: each product of the SVD reads these rows and not the corpus.
-    sample = docs.where(F.col(text_col).isNotNull() & hash_fraction(id_col, sample_docs, max(1, n))).select(F.col(text_col).alias("text"))
-    sample = materialize(sample.repartition(4), "latent-sample")
     items = benchmark.where(F.col(item_text_col).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).orderBy("item_id", "text")
     rows, some = items.toLocalIterator(), False
     while block := [(r.item_id, r.text) for r in itertools.islice(rows, items_per_block)]:
         some = True
-        yield searcher(block, idf, sample, rank, cosine, share, share_with_answer, answer_share)
+        yield searcher(docs.sparkSession, block, idf, rank, cosine, share, share_with_answer, answer_share)
     if not some:
         yield lambda text: []
-    discard(sample)
 
 
 LEAK = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double"

@@ -90,6 +90,17 @@ def test_decontamination_recall_against_every_window(spark):
     assert all(brute_leak(texts[d][1], items[i][1]) for d, i in got if d != i)
 
 
+def test_the_latent_space_comes_from_all_items_and_from_no_sample(spark):
+    """Other ids of the same texts, of which a sample was chosen by id, change no cosine."""
+    rng = random.Random(8)
+    items = [(k, f"{prose(rng, 30, 900)}. {prose(rng, 5, 900)}.") for k in range(40)]
+    texts = [prose(rng, 40, 900) + (" " + items[k][1] if k < 40 else "") for k in range(1500)]
+    texts = [" ".join(w for j, w in enumerate(t.split()) if j % 9) for t in texts]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, two = ({(r.doc_id - low, r.item_id): r.cosine for r in decontaminate.decontaminate(documents(spark, [(low + k, t) for k, t in enumerate(texts)]), bench).collect()} for low in (0, 10**6))
+    assert len(one) >= 36 and one.keys() == two.keys() and max(abs(one[k] - two[k]) for k in one) < 1e-5
+
+
 def test_decontamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminate(documents(spark, []), none).count() == 0
