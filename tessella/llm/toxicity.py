@@ -10,6 +10,7 @@ than in other labelled texts carry log-odds; a logistic model of their strongest
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import U, Words, blocks_of, bounded, collect_vector, lowered, plain, slices
-from .runtime import discard, hash_fraction, materialize, ship
+from .runtime import discard, materialize, ship
 
 # Classes of characters: a-z, a border, other letters, all else.
 BORDER, OTHER, ELSE, KINDS = 26, 27, 28, 29
@@ -258,35 +259,54 @@ def summaries(text: pa.Array, lexicon: Lexicon, labels: np.ndarray | None = None
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 60) -> np.ndarray:
-    """Weights and bias by Newton's method."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + penalty * len(x) * w * np.r_[np.ones(x.shape[1] - 1), 0]
-        hess = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + penalty * len(x) * np.eye(x.shape[1])
-        step = np.linalg.solve(hess, grad)
+def logistic(rows: DataFrame, columns: list[str], penalty: float = 1e-3, most: int = 60) -> np.ndarray:
+    """Weights and bias by Newton's method on all rows(label, columns).
+
+    Tasks add up the gradient and the Hessian of their rows, so the driver gets as many numbers as
+    there are tasks times the square of the columns."""
+    k = len(columns) + 1
+
+    def sums(w):
+        def run(it):
+            total, n = np.zeros(k + k * k), 0
+            for batch in it:
+                x = np.column_stack([*(c.to_numpy() for c in batch.columns[1:]), np.ones(len(batch))])
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                total += np.concatenate([x.T @ (p - batch.column(0).to_numpy()), ((x * (p * (1 - p) + 1e-9)[:, None]).T @ x).ravel()])
+                n += len(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "total"])
+
+        return run
+
+    w = np.zeros(k)
+    for _ in range(most):
+        parts = rows.select("label", *columns).mapInArrow(sums(w), "n long, total binary").collect()
+        n = sum(r.n for r in parts)
+        total = np.array([math.fsum(c) for c in zip(*(np.frombuffer(r.total) for r in parts))])
+        step = np.linalg.solve(total[k:].reshape(k, k) + penalty * n * np.eye(k), total[:k] + penalty * n * w * np.r_[np.ones(k - 1), 0])
         w -= step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labels: int = 20_000, least: int = 4) -> dict:
-    """Trigram model over all of docs; lexicon and logistic model on about max_labels labelled rows.
+SENT = 1_000_000  # labelled rows that are broadcast at most
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", least: int = 4) -> dict:
+    """Trigram model over all of docs; lexicon and logistic model on all labelled rows.
 
     labels(id, label 0/1) are the rows to learn from; rows with a null are left out, of repeated ids
-    one counts. The sample of them is bounded, so it may be broadcast to the texts, and so is the
-    lexicon: the features of at least `least` toxic texts. Further columns are ignored; empty tables,
+    one counts. What the driver and the tasks hold is the lexicon: the features of at least `least` toxic
+    texts. Further columns are ignored; empty tables,
     and labels of one kind only, give a model with one answer.
     """
     ship(docs.sparkSession)
     lm = language_model(trigram_counts(docs, text_col))
     labels = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
-    n = labels.count()
-    sample = labels.where(hash_fraction("id", max_labels, n))
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    # Labels are 12 bytes a row: up to SENT of them go to the texts, of more the texts are shuffled to them.
+    met = F.broadcast(labels) if labels.count() <= SENT else labels
+    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(met, "id")
 
     def read(it):
         memory: dict = {}
@@ -326,8 +346,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             x = summaries(plain(batch.column(0)), lexicon, label)
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(label, pa.int32()), *(pa.array(x[:, j]) for j in range(6))], ["id", "label", *(f"x{j}" for j in range(6))])
 
-    rows = known.select("text", "label", "id").mapInArrow(describe, "id long, label int, x0 double, x1 double, x2 double, x3 double, x4 double, x5 double").toPandas().sort_values("id", kind="stable")
-    weights = logistic(rows.iloc[:, 2:].to_numpy(), rows.label.to_numpy()) if rows.label.nunique() > 1 else np.r_[np.zeros(6), 10.0 if len(rows) and rows.label.iloc[0] else -10.0]
+    columns = [f"x{j}" for j in range(6)]
+    rows = materialize(known.select("text", "label", "id").mapInArrow(describe, "id long, label int, x0 double, x1 double, x2 double, x3 double, x4 double, x5 double"), "toxic-rows")
+    kinds = [r.label for r in rows.select("label").distinct().collect()]
+    weights = logistic(rows, columns) if len(kinds) > 1 else np.r_[np.zeros(6), 10.0 if kinds and kinds[0] else -10.0]
+    discard(rows)
     discard(known)
     return {"lm": lm, "lexicon": lexicon, "weights": weights}
 

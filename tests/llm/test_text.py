@@ -222,6 +222,20 @@ def test_classifiers_of_odd_rows(spark):
         assert kind.score(odd(spark).limit(0), kind.fit(odd(spark).limit(0), labels)).count() == 0
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """More labelled rows than the 20,000 to which a sample was bounded; the weights are those of Newton's method in one place."""
+    docs = spark.range(21_000).selectExpr("id as doc_id", "concat('word ', case when id % 3 = 0 then 'vile' else 'mild' end, case when id % 7 = 0 then ' foul' else ' fair' end) as text")
+    model = toxicity.fit(docs, docs.selectExpr("doc_id", "int(doc_id % 3 = 0 or doc_id % 21 = 1) as toxic"))
+    assert sum(model["lexicon"].n) == 21_000
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(500, 2))
+    y = (x[:, 0] - x[:, 1] / 2 + rng.normal(size=500) > 0.3).astype(int)
+    w = toxicity.logistic(spark.createDataFrame([(int(b), float(p), float(q)) for b, (p, q) in zip(y, x)], "label int, p double, q double"), ["p", "q"])
+    z = np.hstack([x, np.ones((500, 1))])
+    grad = z.T @ (1 / (1 + np.exp(-z @ w)) - y) + 1e-3 * 500 * w * np.array([1, 1, 0])
+    assert np.abs(grad).max() < 1e-5
+
+
 def test_toxic_rows_go_and_the_rest_stays_as_it_is(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     model = toxicity.fit(docs, spark.read.parquet(f"{DIR}/labels.parquet"))
