@@ -31,12 +31,15 @@ class Memory:
                 self.clear()
         at = pc.index_in(distinct, value_set=self.words)
         if at.null_count:
-            new = distinct.filter(at.is_null())
+            missing, had = at.is_null(), len(self.words)
+            new = distinct.filter(missing)
             raws = compute(new.to_pylist())
             sizes = np.fromiter(map(len, raws), np.int64, len(raws)) // self.dtype.itemsize
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
             self.sizes = np.concatenate([self.sizes, sizes])
             self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(raws), self.dtype)])
             self.words = pa.concat_arrays([self.words, new])
-            at = pc.index_in(distinct, value_set=self.words)
+            places = np.nan_to_num(at.to_numpy(zero_copy_only=False)).astype(np.int64)
+            places[missing.to_numpy(zero_copy_only=False)] = np.arange(had, len(self.words))
+            return places
         return at.to_numpy(zero_copy_only=False)

@@ -32,6 +32,7 @@ PUNCTUATION = np.isin(np.arange(256), list(b".,;:!?#$%&*|"))
 ALPHANUMERIC = np.isin(np.arange(256), list(b"0123456789abcdefghijklmnopqrstuvwxyz"))
 SHARP_S, LAST, DIVISION = 0x9F, 0xBF, 0xB7  # second bytes of the letters from sharp s on, and of the sign among them
 KEPT = 1_000_000
+TAKEN = 2 << 20  # bytes of text at a time: chunks, ids and their places take many times that
 assert sys.byteorder == "little" and array("I").itemsize == 4
 _models: dict = {}
 _words: dict[str, Memory] = {}
@@ -116,7 +117,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, size: int, en
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        for batch in bounded(it, 1):
+        for batch in bounded(it, 1, TAKEN):
             ids, bounds = encode_documents(plain(batch.column(1)), path)
             length = np.diff(bounds) + 1
             count = -(-length // size)

@@ -15,6 +15,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,10 +122,11 @@ def latin(m) -> str:
 
 
 def restored(texts: pa.Array, lm: np.ndarray, memory: dict) -> pa.Array:
-    """Lower-case texts with each disguised run replaced by its reading."""
-    hints, foreign = disguised(texts)
-    if not (hints | foreign).any():
-        return texts
+    """Lower-case texts with each disguised run replaced by its reading.
+
+    A text is looked through only between the cuts (suspects) around what may be a disguised run; one
+    with look-alike letters is looked through as a whole.
+    """
     table = memory.get(None)
     if table is None:
         table = memory[None] = lm.tolist()
@@ -138,19 +140,42 @@ def restored(texts: pa.Array, lm: np.ndarray, memory: dict) -> pa.Array:
             memory[token] = restore(token, table)
         return memory[token]
 
-    out = texts.to_pylist()
-    for d in np.flatnonzero(foreign):
-        out[d] = MIXED.sub(latin, out[d])
-    for d in np.flatnonzero(hints | foreign):
-        out[d] = SUSPECT.sub(read, out[d])
-    return pa.array(out, pa.string())
+    parts, sizes, changed = [], pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64), False
+    for lo, _, data, starts, ends, docs, foreign in suspects(texts):
+        at, raw = 0, data.tobytes()
+        for a, b, d in zip(starts.tolist(), ends.tolist(), docs.tolist()):
+            old = raw[a:b].decode()
+            new = SUSPECT.sub(read, MIXED.sub(latin, old) if foreign[d] else old)
+            if new != old:
+                new = new.encode()
+                parts += [raw[at:a], new]
+                sizes[lo + d] += len(new) - (b - a)
+                at, changed = b, True
+        parts.append(raw[at:])
+    if not changed:
+        return texts
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(b"".join(parts)))
 
 
 def disguised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Whether a lower-case text may hold a disguised run, and whether Latin letters stand beside Greek
-    or Cyrillic ones: a cheap look at its bytes, which misses none."""
+    """Whether a lower-case text may hold a disguised run, and whether Latin letters stand beside Greek or Cyrillic ones."""
     out, foreign = np.zeros(len(texts), dtype=bool), np.zeros(len(texts), dtype=bool)
+    for lo, hi, _, _, _, docs, strange in suspects(texts):
+        out[lo + docs], foreign[lo:hi] = True, strange
+    return out, foreign
+
+
+def suspects(texts: pa.Array):
+    """(first row, end row, bytes, starts, ends, rows, foreign): the parts of lower-case texts, in bytes of a
+    slice, that may hold a disguised run, and by row whether Latin letters stand beside Greek or Cyrillic
+    ones: a cheap look at the bytes, which misses none.
+
+    Texts are cut at white space behind two ASCII characters that are no gaps: the last of them does not
+    stand apart, so that no run goes on over such a cut.
+    """
     for lo, hi, data, offs in slices(texts):
+        given = data
         data = np.concatenate([data, np.full(3, 32, dtype=np.uint8)])  # the look ahead ends in spaces
         n = len(data)
         plain = (data >= 97) & (data <= 122)
@@ -174,22 +199,37 @@ def disguised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
                 hit[:m] |= same
         # Three characters in a row that stand apart.
         parted = gap | (data <= 32) | (data >= 194)  # wide white space is taken for a gap, too
-        begins = np.flatnonzero(~parted & np.r_[True, parted[:-1]])
-        ends = np.flatnonzero(~parted & np.r_[parted[1:], True])
+        new = np.zeros(n + 1, dtype=bool)
+        new[offs] = True  # where a text begins or ends
+        begins = np.flatnonzero(~parted & (np.r_[True, parted[:-1]] | new[:-1]))
+        ends = np.flatnonzero(~parted & (np.r_[parted[1:], True] | new[1:]))
         short = (ends - begins) <= 3
         runs = np.flatnonzero(short[:-2] & short[1:-1] & short[2:])
         one = (ends - begins) == 0
         runs = runs[one[runs] & one[runs + 1] & one[runs + 2]] if not (data >= 128).any() else runs
         hit[begins[runs]] = True
-        out[lo + np.unique(np.searchsorted(offs, np.flatnonzero(hit[:-3]), side="right") - 1)] = True
+        hits = np.flatnonzero(hit[:-3])
         strange = (data >= 0xCE) & (data <= 0xD4)
         other = plain | ((data >= 0xC3) & ~strange)  # a Latin letter, or the first byte of a letter of neither script
         beside = np.zeros(n, dtype=bool)
         for back in (1, 2, 3, 4):
             beside[back:] |= strange[back:] & other[:-back]
         beside[:-2] |= strange[:-2] & other[2:]
-        foreign[lo + np.unique(np.searchsorted(offs, np.flatnonzero(beside[:-3]), side="right") - 1)] = True
-    return out, foreign
+        foreign = np.zeros(hi - lo, dtype=bool)
+        foreign[np.searchsorted(offs, np.flatnonzero(beside[:-3]), side="right") - 1] = True
+        solid = (data > 32) & (data < 127) & ~gap
+        white = (data == 32) | ((data >= 9) & (data <= 13))
+        cut = np.zeros(n, dtype=bool)
+        cut[2:] = white[2:] & solid[1:-1] & solid[:-2]
+        cut[offs + 1] = False  # the second character back is another text's
+        cut[:-3] &= ~foreign[np.repeat(np.arange(hi - lo), np.diff(offs))]
+        cut[offs] = True
+        cut[n - 3] = True
+        cuts = np.flatnonzero(cut[: n - 2])
+        whole = offs[:-1][foreign & (np.diff(offs) > 0)]
+        places = np.unique(np.searchsorted(cuts, np.concatenate([hits, whole]), side="right") - 1)
+        starts = cuts[places]
+        yield lo, hi, given, starts, cuts[places + 1], np.searchsorted(offs, starts, side="right") - 1, foreign
 
 
 def features(text: pa.Array):
@@ -283,7 +323,7 @@ def logistic(rows: DataFrame, columns: list[str], penalty: float = 1e-3, most: i
         parts = rows.select("label", *columns).mapInArrow(sums(w), "n long, total binary").collect()
         n = sum(r.n for r in parts)
         total = np.array([math.fsum(c) for c in zip(*(np.frombuffer(r.total) for r in parts))])
-        step = np.linalg.solve(total[k:].reshape(k, k) + penalty * n * np.eye(k), total[:k] + penalty * n * w * np.r_[np.ones(k - 1), 0])
+        step = np.linalg.solve(total[k:].reshape(k, k) + penalty * n * np.diag(np.r_[np.ones(k - 1), 0]), total[:k] + penalty * n * w * np.r_[np.ones(k - 1), 0])
         w -= step
         if np.abs(step).max() < 1e-8:
             break

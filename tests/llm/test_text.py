@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessella.llm import language_id, licenses, packing, quality, queries, secrets, token_counts, toxicity
@@ -236,6 +237,20 @@ def test_toxicity_learns_from_all_labelled_rows(spark):
     assert np.abs(grad).max() < 1e-5
 
 
+def test_logistic_model_is_at_its_least_after_few_steps(spark):
+    x = np.random.default_rng(5).normal(size=(400, 2))
+    rows = spark.createDataFrame([(int(p > 1.5), float(p), float(q)) for p, q in x], "label int, p double, q double").coalesce(1)
+    few, more = (toxicity.logistic(rows, ["p", "q"], most=n) for n in (15, 40))
+    assert np.abs(few - more).max() < 1e-7
+
+
+def test_a_disguised_run_is_read_whatever_texts_stand_beside_it():
+    lm = np.zeros((toxicity.KINDS,) * 3)
+    texts = ["he i d i o t", "hello there", "x", "i d i o t", "ab c", "all is well", "", "аbc and 1d1ot", "12.d e f", "good id1ot good", "well done !!"] * 3
+    alone = [toxicity.SUSPECT.sub(lambda m: toxicity.restore(m.group(0), lm.tolist()), toxicity.MIXED.sub(toxicity.latin, t)) for t in texts]
+    assert toxicity.restored(pa.array(texts), lm, {}).to_pylist() == alone
+
+
 def test_toxic_rows_go_and_the_rest_stays_as_it_is(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     model = toxicity.fit(docs, spark.read.parquet(f"{DIR}/labels.parquet"))
