@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import tokens as K
 from ..functions import understanding as U
+from ..operators.classes import once as _once
 from .registry import query
 from .tables import table
 
@@ -103,7 +104,7 @@ def query_intent(spark, d):
 @query(f"with s as (select id, {sql_strip('q')} as topic from {REQUEST}), t as (select id, topic, {sql_topic('topic')} as w from s) select id, topic, {sql_first('w')}[1:24] as core from t")
 def query_core_terms(spark, d):
     """What is left of a request without scaffolding, and its terms."""
-    return requests(spark, d).select("id", U.topic_of(F.col("q")).alias("topic"), U.core_terms(F.col("q")).alias("core"))
+    return _once(requests(spark, d).select("id", "q"), ["q"], lambda t: t.select("q", U.topic_of(F.col("q")).alias("topic")).select("q", "topic", T.topic_tokens(F.col("topic"), 24).alias("core"))).select("id", "topic", "core")
 
 
 PLAN_PAIRS = "list_transform(generate_series(1, length(h) - 1), lambda i: substr(h, i, 2))"
@@ -120,7 +121,7 @@ def tokens_sql(rows: str, key: str) -> str:
 @query(tokens_sql(REQUEST, "id"))
 def request_tokens(spark, d):
     """Terms with disjoint pairs, and terms with all pairs of the Han characters."""
-    return requests(spark, d).select("id", T.topic_tokens(F.col("q")).alias("topic"), T.plan_tokens(F.col("q")).alias("plan"))
+    return _once(requests(spark, d).select("id", "q"), ["q"], lambda t: t.select("q", T.topic_tokens(F.col("q")).alias("topic"), T.plan_tokens(F.col("q")).alias("plan"))).select("id", "topic", "plan")
 
 
 KEY_PAIRS = "list_transform(generate_series(1, length(regexp_replace(w, '[^一-鿿]', '', 'g')) - 1), lambda i: substr(regexp_replace(w, '[^一-鿿]', '', 'g'), i, 2))"
@@ -262,13 +263,6 @@ def _phrases(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(at(F.col("p_partkey")), F.lit(" "), F.lower("p_type")).alias("phrase"), F.concat(at(F.col("p_size")), F.lit(" "), "p_name").alias("other"))
 
 
-def _once(rows, texts, of, tasks=64):
-    """rows with the columns of(distinct texts): equal texts are worked on once, dealt over tasks whatever their bytes."""
-    known = of(rows.select(*texts).distinct().repartition(tasks, *texts))
-    both = rows.alias("r").join(known.select(*[F.col(c).alias(f"_{c}") if c in texts else F.col(c) for c in known.columns]), reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"_{c}")) for c in texts]))
-    return both.drop(*[f"_{c}" for c in texts])
-
-
 SQL_PHRASE = f"(select p_partkey as id, {sql_list(PHRASE)}[1 + p_partkey % {len(PHRASE)}] || ' ' || lower(p_type) as phrase, {sql_list(PHRASE)}[1 + p_size % {len(PHRASE)}] || ' ' || p_name as other from part)"
 NORMAL = "trim(regexp_replace(regexp_replace(regexp_replace(lower({t}), '[，。！？；：、“”‘’（）《》【】]', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), '\\s+', ' ', 'g'))"
 
@@ -361,7 +355,7 @@ def clauses(spark, d):
 def filter_string(spark, d):
     """A group of alternatives as a quoted filter string."""
     asked, _ = U.subjects_of(F.col("q"))
-    return requests(spark, d).withColumn("asked", asked).where(F.size("asked") > 0).select("id", K.filter_group("subject_slug", F.col("asked")).alias("filter"))
+    return _once(requests(spark, d).select("id", "q"), ["q"], lambda t: t.withColumn("asked", asked).where(F.size("asked") > 0).select("q", K.filter_group("subject_slug", F.col("asked")).alias("filter"))).select("id", "filter")
 
 
 TOC = "phrase || ' …… ' || translate(((id % 90) + 1)::varchar, '0123456789', '０１２３４５６７８９')"

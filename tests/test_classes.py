@@ -82,3 +82,16 @@ def test_equal_texts_are_worked_on_once(spark, name):
 
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate") and "regexp" not in plan[: plan.index("Join")]
+
+
+def test_texts_are_worked_on_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(it):
+        for b in it:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(i, [None, "a", "b"][i % 3]) for i in range(90)], "id long, t string")
+    got = classes.once(rows, ["t"], lambda t: t.mapInArrow(count, "t string").selectExpr("t", "coalesce(t, 'none') as u"), 4).collect()
+    assert sorted((r.id, r.t, r.u) for r in got) == [(i, [None, "a", "b"][i % 3], ["none", "a", "b"][i % 3]) for i in range(90)] and seen.value == 3
