@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical
 from ..functions.understanding import named
+from . import classes
 
 # Rules (pattern of the passage, pattern of the target, score, whether the cue may stand without shared words, preferred codes).
 RULES = {
@@ -71,18 +72,19 @@ def _classed(rows: DataFrame, traits: list[str]) -> DataFrame:
 def passages(sources: DataFrame) -> DataFrame:
     """sources(block, source, text) that show a cue, with their class: passages of a class score alike with every target."""
     c = F.coalesce(F.col("text"), F.lit(""))
-    rows = _traits(sources.select("block", "source", "text"), 0).withColumn("contexts", named({k: c.rlike(p) for k, p in CONTEXTS.items()}))
-    return _classed(rows, ["cues", "pairs", "amounts", "contexts"]).drop("text").where(F.size("cues") > 0)
+    met = lambda t: _traits(t, 0).withColumn("contexts", named({k: c.rlike(p) for k, p in CONTEXTS.items()})).where(F.size("cues") > 0)
+    rows = classes.once(sources.select("block", "source", "text"), ["text"], met)
+    return _classed(rows, ["cues", "pairs", "amounts", "contexts"]).drop("text")
 
 
 def aims(targets: DataFrame) -> DataFrame:
     """targets(block, target, code, text) that show a cue, with their class; texts of up to ten letters and digits count as ten."""
-    rows = _traits(targets.select("block", "target", "code", "text"), 1)
     letters = F.length(F.regexp_replace(canonical.nfkc(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+", ""))
     prefers = named({cue: F.col("code").rlike(r[4]) for cue, r in RULES.items() if r[4]})
     gate = F.when(F.col("code").isin(list(CONTEXTS)), F.col("code"))
-    rows = rows.withColumns({"letters": F.greatest(F.lit(int(SHORT / SHORTEST)), letters), "prefers": prefers, "gate": gate})
-    return _classed(rows, ["cues", "pairs", "amounts", "letters", "prefers", "gate"]).drop("text").where(F.size("cues") > 0)
+    met = lambda t: _traits(t, 1).where(F.size("cues") > 0).withColumn("letters", F.greatest(F.lit(int(SHORT / SHORTEST)), letters))
+    rows = classes.once(targets.select("block", "target", "code", "text"), ["text"], met).withColumns({"prefers": prefers, "gate": gate})
+    return _classed(rows, ["cues", "pairs", "amounts", "letters", "prefers", "gate"]).drop("text")
 
 
 def class_scores(sources: DataFrame, targets: DataFrame) -> DataFrame:
