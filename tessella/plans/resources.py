@@ -175,8 +175,8 @@ def legacy_carry_over(spark, d):
     """Approvals of an earlier generation are never lost."""
     li = table(spark, d, "lineitem").select(F.col("l_partkey").alias("unit"), F.col("l_suppkey").alias("code"), "l_returnflag", "l_shipdate")
     day = F.lit("1998-01-01").cast("timestamp")
-    new = li.where(F.col("l_shipdate") >= day).select("unit", "code").distinct()
-    return S.carry_over(new, li.where((F.col("l_shipdate") < day) & (F.col("l_returnflag") == "R")).select("unit", "code").distinct(), ["unit", "code"])
+    new = li.where(F.col("l_shipdate") >= day).select("unit", "code")
+    return S.carry_over(new, li.where((F.col("l_shipdate") < day) & (F.col("l_returnflag") == "R")).select("unit", "code"), ["unit", "code"])
 
 
 @query("select l_orderkey, l_linenumber, l_partkey from lineitem where (l_suppkey, l_returnflag) in (select s_suppkey, case when s_acctbal > 5000 then 'R' else 'A' end from supplier)")
