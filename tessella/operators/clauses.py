@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .classes import once
+
 # Verbs that begin a clause, adverbs before them, verbs that lack an object where they stand alone, and the words around clauses.
 VERBS = [
     "描述", "说出", "写出", "写作", "表达", "交流", "阅读", "朗读", "识别", "辨认", "观察", "比较",
@@ -87,6 +89,20 @@ def pieces(texts: DataFrame, key: str, text: str) -> DataFrame:
     return out.select(key, "whole", "s", F.posexplode_outer(F.split("sentence", cut)).alias("p", "piece")).select(key, "whole", F.struct("s", "p").alias("at"), "piece")
 
 
+def read(found: DataFrame) -> DataFrame:
+    """pieces with all that depends on the piece alone: the part that may be a clause, its setting, whether it
+    is only a condition, whether it may be a clause, its object, whether it is a verb alone, and its kind."""
+    raw = label_of(F.col("piece"))
+    p = found.where(~compact(F.col("piece")).rlike(rf"^(?:{ABLE})\s*以及")).withColumn("raw", raw)
+    p = p.withColumns({"setting": F.regexp_extract("raw", SETTING, 1), "rest": F.regexp_extract("raw", SETTING, 2)})
+    p = p.withColumn("led", (F.col("setting") != "") & acts(F.col("rest")))
+    p = p.withColumns({"part": F.when(F.col("led"), label_of(F.col("rest"))).otherwise(F.col("raw")), "setting": F.when(F.col("led"), F.col("setting"))})
+    part = F.col("part")
+    only = (part.rlike(CONDITION_END) & ~acts(part)) | (part.rlike(f"^(?:{METHOD})") & ~part.rlike(VERB))
+    clause = ~part.rlike(LEFTOVER) & ~is_note(part) & (F.length("part") >= 2)
+    return p.select("piece", "part", "setting", only.alias("only"), clause.alias("clause"), object_of(part).alias("object"), part.rlike(BARE).alias("bare"), kind_of(part).alias("kind"))
+
+
 def components(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, no, label, condition, source, kind): the clauses of each text, at least one a text.
 
@@ -97,34 +113,32 @@ def components(texts: DataFrame, key: str, text: str) -> DataFrame:
     empty and has an empty one. `key` must be unique. Clauses of a text meet in one sorted partition and are
     never held as an array, so texts may be of any length.
     """
-    p = pieces(texts, key, text)
-    raw = label_of(F.col("piece"))
-    setting, after = F.regexp_extract(raw, SETTING, 1), label_of(F.regexp_extract(raw, SETTING, 2))
-    p = p.where(~compact(F.col("piece")).rlike(rf"^(?:{ABLE})\s*以及")).withColumns({"raw": raw, "setting": setting, "after": after})
-    led = (F.col("setting") != "") & acts(F.regexp_extract("raw", SETTING, 2))
-    p = p.withColumns({"part": F.when(led, F.col("after")).otherwise(F.col("raw")), "setting": F.when(led, F.col("setting"))})
+    p = once(pieces(texts, key, text), ["piece"], read)
     part = F.col("part")
-    only = (part.rlike(CONDITION_END) & ~acts(part)) | (part.rlike(f"^(?:{METHOD})") & ~part.rlike(VERB))
     told = Window.partitionBy(key, "at.s").orderBy("at.p").rowsBetween(Window.unboundedPreceding, 0)
-    p = p.withColumn("only", only).withColumn("condition", F.coalesce(F.last(F.when(F.col("only"), part).otherwise(F.col("setting")), ignorenulls=True).over(told), F.lit("")))
-    p = p.where(~F.col("only") & ~part.rlike(LEFTOVER) & ~is_note(part) & (F.length("part") >= 2))
-    p = p.groupBy(key, "part", "condition").agg(F.min("at").alias("at"), F.first("whole").alias("whole")).withColumnRenamed("part", "label")
+    p = p.withColumn("condition", F.coalesce(F.last(F.when(F.col("only"), part).otherwise(F.col("setting")), ignorenulls=True).over(told), F.lit("")))
+    p = p.where(~F.col("only") & F.col("clause"))
+    p = p.groupBy(key, "part", "condition").agg(F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("whole", "object", "bare", "kind")]).withColumnRenamed("part", "label")
 
     order = Window.partitionBy(key).orderBy("at")
     bare = lambda c: c.rlike(BARE)
-    p = p.withColumns({"next_label": F.lead("label").over(order), "no": F.row_number().over(order)}).withColumn("lent", object_of(F.col("next_label")))
-    takes = bare(F.col("label")) & (F.length("lent") >= 2)
+    p = p.withColumns({"next_label": F.lead("label").over(order), "lent": F.lead("object").over(order), "no": F.row_number().over(order)})
+    p = p.withColumn("takes", F.col("bare") & (F.length(F.coalesce("lent", F.lit(""))) >= 2))
+    takes = F.col("takes")
     p = p.withColumn("first_label", F.when(takes, F.concat("label", "lent")).otherwise(F.col("label")))
     said = lambda c: compact(F.concat(F.when(F.col("condition") != "", F.concat("condition", F.lit("，"))).otherwise(""), c))
     p = p.withColumn("source", F.when(takes, said(F.concat("label", F.lit("并"), "next_label"))).otherwise(said(F.col("label"))))
-    thing = object_of(F.col("first_label"))
+    thing = F.col("thing")
+    p = p.withColumn("thing", F.when(takes, object_of(F.col("first_label"))).otherwise(F.col("object")))
     p = p.withColumn("own", F.when((F.length(thing) >= 3) & ~bare(thing), thing))
     p = p.withColumn("kept", F.last("own", ignorenulls=True).over(Window.partitionBy(key).orderBy("no").rowsBetween(Window.unboundedPreceding, -1)))
-    late = bare(F.col("first_label")) & F.col("kept").isNotNull()
-    found = p.select(key, "no", F.when(late, F.concat("first_label", "kept")).otherwise(F.col("first_label")).alias("label"), "condition", F.when(late, compact(F.col("whole"))).otherwise(F.col("source")).alias("source"))
+    late = F.when(takes, bare(F.col("first_label"))).otherwise(F.col("bare")) & F.col("kept").isNotNull()
+    p = p.withColumn("late", late)
+    late = F.col("late")
+    found = p.withColumn("kind", F.when(~takes & ~late, F.col("kind"))).select(key, "no", F.when(late, F.concat("first_label", "kept")).otherwise(F.col("first_label")).alias("label"), "condition", F.when(late, compact(F.col("whole"))).otherwise(F.col("source")).alias("source"), "kind")
 
     body = compact(F.col(text))
     tail = F.regexp_extract(body, r"^[^：:]{2,18}[：:]\s*(.+)$", 1)
     alone = label_of(F.when(tail.rlike(VERB), tail).otherwise(body))
     rest = texts.select(key, alone.alias("label")).join(found.select(key).distinct(), key, "left_anti").select(key, F.lit(1).alias("no"), "label", F.lit("").alias("condition"), F.col("label").alias("source"))
-    return found.unionByName(rest).withColumn("kind", kind_of(F.col("label")))
+    return found.unionByName(rest.withColumn("kind", F.lit(None).cast("string"))).withColumn("kind", F.coalesce("kind", kind_of(F.col("label"))))
