@@ -68,11 +68,15 @@ def judge(rows: DataFrame, work: Callable[[DataFrame], DataFrame], errors: Colum
 
 def work_batch(todo: DataFrame, work: Callable[[DataFrame], DataFrame], errors: Column, retries: int) -> DataFrame:
     """The ledger's rows for a batch. What fails its checks is worked on again with the errors as feedback, `retries` times at most."""
+    inputs = [c for c in todo.columns if c != "input_hash"]
     pending, done = todo.withColumn("feedback", F.expr("cast(array() as array<string>)")), None
     for attempt in range(1, retries + 2):
-        judged = materialize(judge(pending.withColumn("attempt", F.lit(attempt)), work, errors), "incremental-try")
         good = F.size("errors") == 0
         last = attempt > retries
+        judged = judge(pending.withColumn("attempt", F.lit(attempt)), work, errors)
+        # Only what is worked on again keeps its inputs.
+        kept = [F.when(~good & F.lit(not last), F.col(c)).alias(c) if c in inputs else F.col(c) for c in judged.columns]
+        judged = materialize(judged.select(*kept), "incremental-try")
         row = judged.where(F.lit(True) if last else good).select("input_hash", F.when(good, "ok").otherwise("invalid").alias("status"), "output", F.lit(attempt).alias("attempts"), "errors")
         done = row if done is None else done.unionByName(row)
         if last or judged.where(~good).isEmpty():
@@ -96,9 +100,11 @@ def run(items: DataFrame, inputs: list[str], work: Callable[[DataFrame], DataFra
     spark, config = items.sparkSession, config or {}
     errors = F.expr("cast(array() as array<string>)") if errors is None else errors
     wanted = materialize(distinct_inputs(items, inputs, config), "incremental-inputs")
-    known = trusted(wanted, read_ledger(spark, path), errors)
+    held = read_ledger(spark, path)
+    known = trusted(wanted, held, errors)
     bucket = F.pmod(F.conv(F.substring("input_hash", 1, 8), 16, 10).cast("long"), F.lit(batches)).cast("int")
-    todo = materialize(wanted.join(known.select("input_hash"), "input_hash", "left_anti").withColumn("bucket", bucket), "incremental-todo")
+    # With nothing in the ledger all that is wanted is to do, and isn't written again.
+    todo = wanted.withColumn("bucket", bucket) if held.isEmpty() else materialize(wanted.join(known.select("input_hash"), "input_hash", "left_anti").withColumn("bucket", bucket), "incremental-todo")
     number = F.sum(F.conv(F.substring("input_hash", 9, 15), 16, 10).cast("decimal(38,0)"))
     plan = todo.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), number.alias("sum"), F.sum(cost if cost is not None else F.lit(0.0)).cast("double").alias("cost")).orderBy("bucket").collect()  # `batches` rows at most
     total, planned = wanted.count(), sum(r["n"] for r in plan)
