@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,26 +46,37 @@ def assign(items: DataFrame) -> DataFrame:
     named = usable.withColumn("page", F.coalesce("page", F.lit("")))
     placed = runs(named)
 
-    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
-        for pdf in batches:
+        for batch in batches:
+            at = [batch.column(batch.schema.names.index(c)) for c in ("page", "run", "baseline", "tolerance")]
+            new = np.ones(len(batch), dtype=bool)
+            for c in at[:2]:  # where page or run is another than that of the item before
+                same = pc.equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+                new[1:] = same if c is at[0] else new[1:] & same
+            new[1:] = ~new[1:]
+            if len(batch):
+                new[0] = (at[0][0].as_py(), at[1][0].as_py()) != key
+                key = (at[0][-1].as_py(), at[1][-1].as_py())
             out = []
-            for k, b, t in zip(zip(pdf.page.tolist(), pdf.run.tolist()), pdf.baseline.tolist(), pdf.tolerance.tolist()):
-                if k != key:
-                    key, rows = k, []
-                found = next((r for r in rows if abs(r - b) <= t), None)
-                if found is None:
-                    found = b
+            for fresh, b, t in zip(new.tolist(), at[2].to_pylist(), at[3].to_pylist()):
+                if fresh:
+                    rows = []
+                for r in rows:
+                    if abs(r - b) <= t:
+                        out.append(r)
+                        break
+                else:
                     # Rows further up than the largest tolerance are out of reach for good.
                     rows = [*(r for r in rows if r - b <= MOST_TOLERANCE), b]
-                out.append(found)
-            yield pdf.assign(row_baseline=out)
+                    out.append(b)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "row_baseline"])
 
     # A task takes the items of its runs one behind the other and keeps the rows within reach only.
     placed = placed.withColumn("baseline", F.col("baseline").cast("double"))
     ordered = placed.repartition("page", "run").sortWithinPartitions("page", "run", F.desc("baseline"), "x", "item")
     schema = T.StructType([*ordered.schema.fields, T.StructField("row_baseline", T.DoubleType())])
-    return ordered.mapInPandas(follow, schema).drop("tolerance", "run")
+    return ordered.mapInArrow(follow, schema).drop("tolerance", "run")
 
 
 def rows(items: DataFrame) -> DataFrame:
