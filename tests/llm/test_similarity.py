@@ -9,7 +9,7 @@ import pandas as pd
 from hypothesis import given
 from hypothesis import strategies as st
 
-from tessella.llm import decontaminate, media, ngram_join
+from tessella.llm import decontaminate, hamming, media, ngram_join
 
 DOCS = "doc_id long, text string, item_id string, rep string, label int"
 
@@ -224,6 +224,44 @@ def test_media_classes_against_comparing_all_pairs(spark):
     assert all(label[i] == label[j] for i, j in itertools.combinations(range(len(images)), 2) if got[i] == got[j])
 
 
+def test_media_loses_no_link(spark, monkeypatch):
+    """Classes are those of comparing all pairs, in one block or many; the tables and the sketch alone miss links of turned and enlarged images."""
+    rng = np.random.default_rng(8)
+    scenes = [scene(k) for k in range(12)]
+    images = [pgm(y) for x in scenes for y in (x, *edits(x, rng), media.resize(x, 1.5), turned(x, 31), turned(media.resize(x, 1.2), 9))]
+    rows = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(images)], "media_id long, image binary")
+    points = [media.describe(media.decode(x), 24) for x in images]
+    label = list(range(len(images)))
+    for i, j in itertools.combinations(range(len(images)), 2):
+        if media.alike(points[i], points[j], 40, 5):
+            low, high = sorted((label[i], label[j]))
+            label = [low if v == high else v for v in label]
+    for block in (6144, 9):
+        monkeypatch.setattr(media, "WAVE", 5)
+        got = {r.media_id: r.class_id for r in media.media_copies(rows, "media_id", "image", block=block).collect()}
+        assert [got[i] for i in range(len(images))] == label
+
+
+def test_near_rows_equal_comparing_all():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 256, (40, 32), dtype=np.uint8)
+    rows = lambda n: base[rng.integers(0, 40, n)] ^ np.packbits(rng.random((n, 256)) < rng.choice([0.02, 0.1, 0.2], (n, 1)), axis=1)
+    a, b = rows(700), rows(1203)
+    far = np.bitwise_count(a[:, None] ^ b[None]).sum(2, dtype=int)
+    for distance in (0, 40, 70):
+        got = hamming.Index(b, distance).pairs(a, lambda i, j: i != j, 10**9)
+        assert sorted(zip(*(x.tolist() for x in got))) == [(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(far <= distance))) if i != j]
+    assert hamming.Index(b, 70).pairs(a, lambda i, j: i != j, 10) is None
+
+
+def test_a_band_with_many_near_points_is_halved(monkeypatch):
+    images = [media.describe(scene(k % 3) + k, 24) for k in range(12)]
+    pdf = pd.DataFrame({"rep": range(12), "label": range(12), "right": False, "points": [x.tobytes() for x in images]})
+    want = media.block_links(40, 5)((0, 0, 0), pdf).to_numpy().tolist()
+    monkeypatch.setattr(media, "NEAR", 3)
+    assert media.block_links(40, 5)((0, 0, 0), pdf).to_numpy().tolist() == want and len(want) == 9
+
+
 def test_media_rows_do_not_depend_on_how_full_a_list_is(spark):
     a, b, rng = scene(4), scene(5), np.random.default_rng(5)
     images = []
