@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,6 +76,17 @@ def test_pairs_of_rows_are_spread_out_last(spark, name):
     assert top.count("Generate explode") == (1 if name == "neighbors_same_group" else 2) and "Aggregate" not in top
 
 
+def test_jaccard_pairs_are_not_made_distinct(spark):
+    """A pair comes out of the join once, so that no task holds the pairs it has met."""
+    rows = [(k, "g", sorted({f"t{(k * j) % 7}" for j in range(1, 6)})) for k in range(30)]
+    left = spark.createDataFrame(rows, "a int, g string, tokens array<string>")
+    out = matching.jaccard_join(left, left.withColumnRenamed("a", "b"), ["g"], 3, 5)
+    want = [(a, b, len({*x} & {*y}), len(x), len(y)) for (a, _, x), (b, _, y) in itertools.product(rows, rows) if len({*x} & {*y}) * 5 >= 3 * len({*x} | {*y})]
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")] and not re.search(r"Aggregate\(keys=\[a#\d+, b#\d+\]", plan)
+
+
 @pytest.mark.parametrize("name", ["lexical_component", "content_grams"])
 def test_equal_texts_are_worked_on_once(spark, name):
     """The texts are made distinct below the expensive step and joined to the rows above it."""
