@@ -43,6 +43,7 @@ KINDS = {
 VERB = "|".join(VERBS)
 HEADS = rf"^(?:(?:[，,；;。\s]++)?(?:{LEARNER}\s*)?(?:(?:{ABLE})\s*)?(?:(?:{JOINED})\s*)?){{3}}"
 BARE = f"^(?:{BARE_ADVERBS})?(?:{BARE_VERBS})$"
+TASKS = 64  # that texts are dealt over
 
 
 def compact(c: Column) -> Column:
@@ -78,7 +79,8 @@ def kind_of(c: Column) -> Column:
 def pieces(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, whole, at, piece) of every text: sentences, cut before a verb that follows a comma or a conjunction.
 
-    An introduction of 2 to 18 characters before a colon goes if a verb comes after it."""
+    An introduction of 2 to 18 characters before a colon goes if a verb comes after it. A text has one piece at
+    least, a null if there is nothing in it; the whole text stands at its first piece and is null at others."""
     body = compact(F.col(text))
     tail = F.regexp_extract(body, r"^[^：:]{2,18}[：:]\s*(.+)$", 1)
     whole = F.when(tail.rlike(VERB), tail).otherwise(body)
@@ -86,21 +88,24 @@ def pieces(texts: DataFrame, key: str, text: str) -> DataFrame:
     out = texts.select(key, whole.alias("whole")).select(key, "whole", F.posexplode_outer(F.split("whole", "[；;。\n]+")).alias("s", "sentence"))
     out = out.withColumn("sentence", F.trim("sentence"))
     out = out.withColumn("sentence", F.when((F.col("sentence") != "") & ~is_note(F.col("sentence")), F.col("sentence")))
-    return out.select(key, "whole", "s", F.posexplode_outer(F.split("sentence", cut)).alias("p", "piece")).select(key, "whole", F.struct("s", "p").alias("at"), "piece")
+    first = (F.col("s") == 0) & (F.coalesce("p", F.lit(0)) == 0)
+    return out.select(key, "whole", "s", F.posexplode_outer(F.split("sentence", cut)).alias("p", "piece")).select(key, F.when(first, F.col("whole")).alias("whole"), F.struct("s", "p").alias("at"), "piece")
 
 
 def read(found: DataFrame) -> DataFrame:
     """pieces with all that depends on the piece alone: the part that may be a clause, its setting, whether it
-    is only a condition, whether it may be a clause, its object, whether it is a verb alone, and its kind."""
+    is only a condition, whether it may be a clause, its object, whether it is a verb alone, and its kind.
+
+    They are never broadcast: there may be many, and all would go through the driver."""
     raw = label_of(F.col("piece"))
-    p = found.where(~compact(F.col("piece")).rlike(rf"^(?:{ABLE})\s*以及")).withColumn("raw", raw)
+    p = found.withColumns({"raw": raw, "loose": compact(F.col("piece")).rlike(rf"^(?:{ABLE})\s*以及")})
     p = p.withColumns({"setting": F.regexp_extract("raw", SETTING, 1), "rest": F.regexp_extract("raw", SETTING, 2)})
     p = p.withColumn("led", (F.col("setting") != "") & acts(F.col("rest")))
-    p = p.withColumns({"part": F.when(F.col("led"), label_of(F.col("rest"))).otherwise(F.col("raw")), "setting": F.when(F.col("led"), F.col("setting"))})
+    p = p.withColumns({"part": F.when(F.col("led"), label_of(F.col("rest"))).otherwise(F.col("raw")), "setting": F.when(F.col("led") & ~F.col("loose"), F.col("setting"))})
     part = F.col("part")
     only = (part.rlike(CONDITION_END) & ~acts(part)) | (part.rlike(f"^(?:{METHOD})") & ~part.rlike(VERB))
     clause = ~part.rlike(LEFTOVER) & ~is_note(part) & (F.length("part") >= 2)
-    return p.select("piece", "part", "setting", only.alias("only"), clause.alias("clause"), object_of(part).alias("object"), part.rlike(BARE).alias("bare"), kind_of(part).alias("kind"))
+    return p.select("piece", "part", "setting", (~F.col("loose") & only).alias("only"), (~F.col("loose") & ~only & clause).alias("clause"), object_of(part).alias("object"), part.rlike(BARE).alias("bare"), kind_of(part).alias("kind")).hint("merge")
 
 
 def components(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -113,14 +118,15 @@ def components(texts: DataFrame, key: str, text: str) -> DataFrame:
     empty and has an empty one. `key` must be unique. Clauses of a text meet in one sorted partition and are
     never held as an array, so texts may be of any length.
     """
-    p = once(pieces(texts, key, text), ["piece"], read)
+    # Texts are dealt anew, as a small file of them is one task. What has no clause stays as one row a text, behind its clauses.
+    p = once(pieces(texts.select(key, text).repartition(TASKS, key), key, text), ["piece"], read).repartition(key)
     part = F.col("part")
     told = Window.partitionBy(key, "at.s").orderBy("at.p").rowsBetween(Window.unboundedPreceding, 0)
     p = p.withColumn("condition", F.coalesce(F.last(F.when(F.col("only"), part).otherwise(F.col("setting")), ignorenulls=True).over(told), F.lit("")))
-    p = p.where(~F.col("only") & F.col("clause"))
-    p = p.groupBy(key, "part", "condition").agg(F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("whole", "object", "bare", "kind")]).withColumnRenamed("part", "label")
+    clause = lambda c: F.when(F.col("clause"), F.col(c))
+    p = p.groupBy(key, clause("part").alias("label"), clause("condition").alias("condition")).agg(F.min("at").alias("at"), F.max("whole").alias("whole"), *[F.first(clause(c)).alias(c) for c in ("object", "bare", "kind")])
 
-    order = Window.partitionBy(key).orderBy("at")
+    order = Window.partitionBy(key).orderBy(F.col("label").isNull(), "at")
     bare = lambda c: c.rlike(BARE)
     p = p.withColumns({"next_label": F.lead("label").over(order), "lent": F.lead("object").over(order), "no": F.row_number().over(order)})
     p = p.withColumn("takes", F.col("bare") & (F.length(F.coalesce("lent", F.lit(""))) >= 2))
@@ -131,14 +137,10 @@ def components(texts: DataFrame, key: str, text: str) -> DataFrame:
     thing = F.col("thing")
     p = p.withColumn("thing", F.when(takes, object_of(F.col("first_label"))).otherwise(F.col("object")))
     p = p.withColumn("own", F.when((F.length(thing) >= 3) & ~bare(thing), thing))
-    p = p.withColumn("kept", F.last("own", ignorenulls=True).over(Window.partitionBy(key).orderBy("no").rowsBetween(Window.unboundedPreceding, -1)))
+    p = p.withColumns({"kept": F.last("own", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), "whole": F.max("whole").over(Window.partitionBy(key))})
+    p = p.where("label is not null or no = 1").withColumn("alone", F.when(F.col("label").isNull(), label_of(F.col("whole"))))
     late = F.when(takes, bare(F.col("first_label"))).otherwise(F.col("bare")) & F.col("kept").isNotNull()
     p = p.withColumn("late", late)
-    late = F.col("late")
-    found = p.withColumn("kind", F.when(~takes & ~late, F.col("kind"))).select(key, "no", F.when(late, F.concat("first_label", "kept")).otherwise(F.col("first_label")).alias("label"), "condition", F.when(late, compact(F.col("whole"))).otherwise(F.col("source")).alias("source"), "kind")
-
-    body = compact(F.col(text))
-    tail = F.regexp_extract(body, r"^[^：:]{2,18}[：:]\s*(.+)$", 1)
-    alone = label_of(F.when(tail.rlike(VERB), tail).otherwise(body))
-    rest = texts.select(key, alone.alias("label")).join(found.select(key).distinct(), key, "left_anti").select(key, F.lit(1).alias("no"), "label", F.lit("").alias("condition"), F.col("label").alias("source"))
-    return found.unionByName(rest.withColumn("kind", F.lit(None).cast("string"))).withColumn("kind", F.coalesce("kind", kind_of(F.col("label"))))
+    late, alone = F.col("late"), F.col("alone")
+    found = p.withColumn("kind", F.when(~takes & ~late, F.col("kind"))).select(key, "no", F.coalesce(alone, F.when(late, F.concat("first_label", "kept")).otherwise(F.col("first_label"))).alias("label"), F.coalesce("condition", F.lit("")).alias("condition"), F.coalesce(alone, F.when(late, compact(F.col("whole"))).otherwise(F.col("source"))).alias("source"), "kind")
+    return found.withColumn("kind", F.coalesce("kind", kind_of(F.col("label"))))

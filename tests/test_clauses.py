@@ -101,3 +101,21 @@ def test_clauses_equal_a_plain_loop(spark):
     assert got(spark, texts) == [plain(t) for t in texts]
     empty = spark.createDataFrame([], "id int, text string")
     assert C.components(empty, "id", "text").collect() == []
+
+
+@pytest.mark.parametrize("name", ["borrowed_objects"])
+def test_statements_are_not_sent_through_the_driver(spark, name):
+    """However small the file, no join broadcasts its side: texts and pieces are many more bytes than their file. Clauses are found once."""
+    from tessella.plans.registry import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Broadcast" not in plan
+    assert plan.count("FileScan") <= (2 if name == "borrowed_objects" else 3)
+
+
+def test_texts_without_clauses_among_others(spark):
+    """A text whose pieces are no clauses is one by itself, with its own words; pieces that are dropped have no condition."""
+    rows = [(1, "以及。在活动中。"), (2, "能以及描述花；，"), (3, None), (4, "比较花。以及"), (5, "能以及在实验中，观察花，比较叶")]
+    got = sorted((r.id, r.no, r.label, r.condition, r.source) for r in C.components(spark.createDataFrame(rows, "id int, text string"), "id", "text").collect())
+    whole = [(1, 1, "在活动中"), (2, 1, "描述花"), (3, 1, ""), (4, 1, "比较花"), (5, 1, "观察花"), (5, 2, "比较叶")]
+    assert got == [(*w, "", w[2]) for w in whole]
