@@ -67,7 +67,8 @@ def _parts(comps: DataFrame, key: str) -> DataFrame:
 
 
 def _statements(texts: DataFrame, comps: DataFrame, key: str, text: str) -> DataFrame:
-    return texts.select(key, compact(F.col(text)).alias("_t")).join(_parts(comps, key), key)
+    """Texts with their clauses. Neither is broadcast: a small file makes many texts, which would all go through the driver."""
+    return texts.select(key, compact(F.col(text)).alias("_t")).join(_parts(comps, key).hint("merge"), key)
 
 
 def _limits(c: Column, rule: Column) -> Column:
