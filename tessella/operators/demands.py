@@ -79,6 +79,20 @@ def _limits(c: Column, rule: Column) -> Column:
     return F.concat(words, F.when(rule == "quantitative_threshold", amounts).otherwise(F.array().cast("array<string>")))
 
 
+def _met(s: DataFrame) -> DataFrame:
+    """s with the demands that each text meets, or the one by default, and whether it meets any."""
+    found = named({r: F.col("_t").rlike(p) for r, (p, _, _) in DEMANDS.items()})
+    several = F.when(F.size("parts") > 1, "combined_performance").otherwise("independent_core_performance")
+    s = s.withColumn("found", found).withColumn("met", F.size("found") > 0)
+    return s.withColumn("rules", F.when(F.col("met"), F.col("found")).otherwise(F.array(several))).drop("found")
+
+
+def _tied(rule: Column) -> Column:
+    """Numbers of the clauses that meet a demand, else of the first three."""
+    related = F.filter("parts", lambda p: F.array_contains(p["demands"], rule))
+    return F.transform(F.when(F.exists("parts", lambda p: F.array_contains(p["demands"], rule)), related).otherwise(F.slice("parts", 1, 3)), lambda p: p["no"])
+
+
 def cases(texts: DataFrame, comps: DataFrame, key: str, text: str) -> DataFrame:
     """(key, no, rule, title, dimension, components, limits, structure, confidence, case_id): the hard cases of each text.
 
@@ -86,18 +100,13 @@ def cases(texts: DataFrame, comps: DataFrame, key: str, text: str) -> DataFrame:
     meets is a case, in the order of the table, tied to the clauses that meet it too, else to the first
     three. A text that meets no rule has one case by default, by whether it has several clauses.
     """
-    s = _statements(texts, comps, key, text)
-    found = named({r: F.col("_t").rlike(p) for r, (p, _, _) in DEMANDS.items()})
-    several = F.when(F.size("parts") > 1, "combined_performance").otherwise("independent_core_performance")
-    s = s.withColumn("found", found).select(key, "_t", "parts", (F.size("found") > 0).alias("met"), F.posexplode(F.when(F.size("found") > 0, F.col("found")).otherwise(F.array(several))).alias("at", "rule"))
+    s = _met(_statements(texts, comps, key, text)).select(key, "_t", "parts", "met", F.posexplode("rules").alias("at", "rule"))
     title = _pick({r: v[1] for r, v in DEMANDS.items()} | {r: v[0] for r, v in WHOLE.items()}, F.col("rule"))
     dimension = _pick({r: v[2] for r, v in DEMANDS.items()} | {r: v[1] for r, v in WHOLE.items()}, F.col("rule"))
-    related = F.filter("parts", lambda p: F.array_contains(p["demands"], F.col("rule")))
-    s = s.withColumns({"related": related, "limits": _limits(F.col("_t"), F.col("rule")), "title": title, "no": F.col("at") + 1})
-    first = F.slice("parts", 1, 3)
-    tied = F.transform(F.when(F.size("related") > 0, F.col("related")).otherwise(first), lambda p: p["no"])
-    structure = F.when(F.size("limits") > 0, F.concat("title", F.lit("（"), F.array_join("limits", "、"), F.lit("）"))).otherwise(F.array_join(F.transform(first, lambda p: p["label"]), "；"))
-    return s.select(key, "no", "rule", "title", dimension.alias("dimension"), tied.alias("components"), "limits", structure.alias("structure"), F.when(F.col("met"), SURE).otherwise(DEFAULT).alias("confidence"), _short_id("hc", F.col(key), F.col("rule"), F.col("no")).alias("case_id"))
+    s = s.withColumns({"limits": _limits(F.col("_t"), F.col("rule")), "title": title, "no": F.col("at") + 1})
+    heads = F.array_join(F.transform(F.slice("parts", 1, 3), lambda p: p["label"]), "；")
+    structure = F.when(F.size("limits") > 0, F.concat("title", F.lit("（"), F.array_join("limits", "、"), F.lit("）"))).otherwise(heads)
+    return s.select(key, "no", "rule", "title", dimension.alias("dimension"), _tied(F.col("rule")).alias("components"), "limits", structure.alias("structure"), F.when(F.col("met"), SURE).otherwise(DEFAULT).alias("confidence"), _short_id("hc", F.col(key), F.col("rule"), F.col("no")).alias("case_id"))
 
 
 def difficulties(texts: DataFrame, comps: DataFrame, key: str, text: str) -> DataFrame:
@@ -105,16 +114,17 @@ def difficulties(texts: DataFrame, comps: DataFrame, key: str, text: str) -> Dat
 
     Every category that a text meets, in the order of the table, tied to the clauses that meet it, else to
     the clause of its own place (or the last one); `target` is the first of these, `cases` the hard cases
-    that share a clause. A text that meets none may fail in stability.
+    that share a clause. A text that meets none may fail in stability. comps is read once.
     """
-    s = _statements(texts, comps, key, text)
+    s = _met(_statements(texts, comps, key, text))
+    hard = F.transform("rules", lambda r, i: F.struct(_tied(r).alias("components"), _short_id("hc", F.col(key), r, i + 1).alias("case_id")))
     found = named({r: F.col("_t").rlike(p) for r, p in DIFFICULTIES.items()})
-    s = s.withColumn("found", found).select(key, "parts", (F.size("found") > 0).alias("met"), F.posexplode(F.when(F.size("found") > 0, F.col("found")).otherwise(strings([UNSTABLE]))).alias("at", "category"))
+    s = s.select(key, "parts", hard.alias("hard"), found.alias("found"))
+    s = s.select(key, "parts", "hard", (F.size("found") > 0).alias("met"), F.posexplode(F.when(F.size("found") > 0, F.col("found")).otherwise(strings([UNSTABLE]))).alias("at", "category"))
     related = F.filter("parts", lambda p: F.array_contains(p["difficulties"], F.col("category")))
     s = s.withColumn("related", related)
     own = F.slice("parts", F.least(F.col("at") + 1, F.size("parts")), F.lit(1))
     s = s.withColumn("tied", F.when(F.size("related") > 0, F.col("related")).otherwise(own))
-    hard = cases(texts, comps, key, text).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("no", "components", "case_id"))).alias("hard"))
-    s = s.join(hard, key).withColumns({"components": F.transform("tied", lambda p: p["no"]), "no": F.col("at") + 1})
+    s = s.withColumns({"components": F.transform("tied", lambda p: p["no"]), "no": F.col("at") + 1})
     shared = F.transform(F.filter("hard", lambda h: F.arrays_overlap(h["components"], F.col("components"))), lambda h: h["case_id"])
     return s.select(key, "no", "category", "components", F.get("tied", F.lit(0))["label"].alias("target"), shared.alias("cases"), F.when(F.col("met"), DIFFICULTY_SURE).otherwise(DIFFICULTY_DEFAULT).alias("confidence"), _short_id("cd", F.col(key), F.col("category"), F.col("no")).alias("difficulty_id"))

@@ -103,7 +103,7 @@ def test_clauses_equal_a_plain_loop(spark):
     assert C.components(empty, "id", "text").collect() == []
 
 
-@pytest.mark.parametrize("name", ["borrowed_objects", "hard_cases"])
+@pytest.mark.parametrize("name", ["borrowed_objects", "hard_cases", "learner_difficulties"])
 def test_statements_are_not_sent_through_the_driver(spark, name):
     """However small the file, no join broadcasts its side: texts and pieces are many more bytes than their file. Clauses are found once."""
     from tessella.plans.registry import QUERIES
