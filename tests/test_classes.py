@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import classes, matching
+from tessella.operators import classes, matching, resolve
 
 
 def test_expanded_and_best_equal_all_pairs(spark, monkeypatch):
@@ -76,6 +76,21 @@ def test_pairs_of_rows_are_spread_out_last(spark, name):
     assert top.count("Generate explode") == (1 if name == "neighbors_same_group" else 2) and "Aggregate" not in top
 
 
+def test_rows_meet_a_list_of_neighbours_at_a_time(spark, monkeypatch):
+    """All rows of a group meet a list before the next one: neither a task nor a stretch of a file has a whole group."""
+    monkeypatch.setattr(resolve, "LIST", 5)
+    rows = [(k, "x" if k < 60 else None if k < 70 else "y") for k in range(80)]
+    df = spark.createDataFrame(rows, "id long, g string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = [tuple(r) for r in resolve.same_group(df, ["g"], "id", df.where("id % 2 = 0")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(got) == sorted((a, b) for (a, g), (b, h) in itertools.product(rows, rows) if g == h and g and a != b and a % 2 == 0)
+    runs = [{b for _, b in run} for a, run in itertools.groupby(got, key=lambda r: r[0])]
+    assert len(runs) > 3 * 35 and max(map(len, runs)) < 20
+
+
 def test_jaccard_pairs_are_not_made_distinct(spark):
     """A pair comes out of the join once, so that no task holds the pairs it has met."""
     rows = [(k, "g", sorted({f"t{(k * j) % 7}" for j in range(1, 6)})) for k in range(30)]
